@@ -17,12 +17,14 @@ def language_of(path: Column) -> Column:
     return names[F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))]
 
 
-def verdict(text: str, name: str) -> tuple[bool, int | None, str | None]:
+def verdict(text: str, name: str, where: bool = True) -> tuple[bool, int | None, str | None]:
     """Whether a text fails to parse, and where and why. Nesting beyond the parser's stack counts as a failure."""
     lang = language(name)
     try:
         if lang.check(text):
             return False, None, None
+        if not where:
+            return True, None, None
         line, cause = lang.failure(text)
         return True, line, cause
     except RecursionError:

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gantry.llm.docs import documented_functions
 from gantry.llm.parsing import parse_files, parse_rates
 from gantry.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return documented_functions(table(spark, folder, "source_text")).select("repository_id", "node_id", "start_line")
+
+
+def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Code-description pairs: name, signature, line range and documentation of each function."""
+    return documented_functions(table(spark, folder, "source_text"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return parse_files(table(spark, folder, "source_text")).filter("has_error").select("repository_id", "node_id")
 
@@ -16,6 +26,6 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
     return parse_rates(parse_files(table(spark, folder, "source_text")))
 
 
-QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p4_found": p4_found, "p4_rates": p4_rates}
 
 SQL: dict[str, str] = {}
