@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gantry.llm.docs import documented_functions
 from gantry.llm.parsing import parse_files, parse_rates
+from gantry.llm.provenance import mark_files, provenance_report
 from gantry.sources.tables import table
 
 
@@ -18,6 +19,18 @@ def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return documented_functions(table(spark, folder, "source_text"))
 
 
+def _marked(spark: SparkSession, folder: str) -> DataFrame:
+    return mark_files(table(spark, folder, "source_text"), table(spark, folder, "external_systems"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _marked(spark, folder).filter("generated or minified or vendored or data").select("repository_id", "node_id")
+
+
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    return provenance_report(_marked(spark, folder), table(spark, folder, "graph_nodes"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return parse_files(table(spark, folder, "source_text")).filter("has_error").select("repository_id", "node_id")
 
@@ -26,6 +39,6 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
     return parse_rates(parse_files(table(spark, folder, "source_text")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p4_found": p4_found, "p4_rates": p4_rates}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_rates": p4_rates}
 
 SQL: dict[str, str] = {}
