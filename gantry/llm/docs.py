@@ -18,8 +18,12 @@ from gantry.llm.grammars import _REGEX, _STRINGS, _TEMPLATE, clean
 from gantry.llm.parsing import language_of, verdict
 
 _N = r"[A-Za-z_$][\w$]*"
-_GROUP = r"(?P<g>\([^(){}\"'`/\n;]*\))"
-_SHAPES = r"|(?P<open>[({])|(?P<close>[)}])|(?P<semi>;)|(?P<arrow>=>)"
+#: Parentheses without brackets inside, which need no rows.
+_GROUP = r"\((?:[^(){}\"'`/\n;]|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')*\)"
+_FLAT = r"\([^(){}\"'`/\n;]*\)"
+#: After a head: a flat parameter list that a body follows on the line, or one that isn't flat.
+_BODY = r"(?:(?=" + _FLAT + r"[^;\n]*\{)|(?=\()(?!" + _FLAT + r"))"
+_SHAPES = r"|(?P<open>[({])|(?P<close>[)}])|(?P<arrow>=>)"
 #: Fixed values of the languages: words before a parenthesis that name no function, and modifiers.
 _NOT_NAMES = r"(?!(?:if|for|while|switch|catch|with|return|function|await|typeof|new|super|throw|else|do|case|delete|void|yield|import|synchronized|try|assert|instanceof|in|of)\b)"
 _SCRIPT_MODS = r"(?:(?:public|private|protected|static|async|get|set|readonly|abstract|override|accessor|declare)[ \t]+)*"
@@ -31,23 +35,23 @@ _LEX = {
     "script": re.compile(
         _BLOCK + _AT + r"|" + _STRINGS + r"|" + _TEMPLATE + r"|(?:" + _BEFORE + r")" + _REGEX
         + r"|^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function\b[ \t]*\*?[ \t]*(?P<whole>" + _N + r")"
-        + r"|^[ \t]*(?:export[ \t]+)?const[ \t]+(?P<bound>" + _N + r")[ \t]*(?::[^=\n]*)?=[ \t]*(?:async\b[ \t]*)?(?:function\b|" + _N + r"[ \t]*=>)"
-        + r"|^[ \t]*(?:export[ \t]+)?const[ \t]+(?P<binding>" + _N + r")[ \t]*(?::[^=\n]*)?=[ \t]*(?:async\b[ \t]*)?(?:<[^()\n]*>[ \t]*)?(?=\()"
-        + r"|^[ \t]*" + _SCRIPT_MODS + r"\*?[ \t]*" + _NOT_NAMES + r"(?P<method>\#?" + _N + r")\??[ \t]*(?:<[^()\n]*>[ \t]*)?(?=\()"
-        + r"|" + _GROUP + _SHAPES + r"|[^\n\"'`/(){};=@]+|\n",
+        + r"|^[ \t]*(?:export[ \t]+)?const[ \t]+(?P<bound>" + _N + r")[ \t]*(?::[^=\n]*)?=[ \t]*(?:async\b[ \t]*)?(?:function\b|" + _N + r"[ \t]*=>|(?:<[^()\n]*>[ \t]*)?" + _FLAT + r"[^;\n=]*=>)"
+        + r"|^[ \t]*(?:export[ \t]+)?const[ \t]+(?P<binding>" + _N + r")[ \t]*(?::[^=\n]*)?=[ \t]*(?:async\b[ \t]*)?(?:<[^()\n]*>[ \t]*)?(?=\()(?!" + _FLAT + r")"
+        + r"|^[ \t]*" + _SCRIPT_MODS + r"\*?[ \t]*" + _NOT_NAMES + r"(?P<method>\#?" + _N + r")\??[ \t]*(?:<[^()\n]*>[ \t]*)?" + _BODY
+        + r"|" + _GROUP + _SHAPES + r"|[^\n\"'`/(){}=@]+\n*|\n+",
         re.M,
     ),
     "java": re.compile(
         _BLOCK + _AT + r"|\"\"\"[ \t\f]*\n(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.[^'\n]*)'"
-        + r"|^[ \t]*" + _NOT_NAMES + r"(?:(?:<[^()\n]*>|[\w$.]+(?:<[^()=;\n]*>)?(?:\[\])*(?:\.\.\.)?)[ \t]+)+" + _NOT_NAMES + r"(?P<method>" + _N + r")[ \t]*(?=\()"
-        + r"|" + _GROUP + _SHAPES + r"|[^\n\"'/(){};=@]+|\n",
+        + r"|^[ \t]*" + _NOT_NAMES + r"(?:(?:<[^()\n]*>|[\w$.]+(?:<[^()=;\n]*>)?(?:\[\])*(?:\.\.\.)?)[ \t]+)+" + _NOT_NAMES + r"(?P<method>" + _N + r")[ \t]*" + _BODY
+        + r"|" + _GROUP + _SHAPES + r"|[^\n\"'/(){}=@]+\n*|\n+",
         re.M,
     ),
     "go": re.compile(
         r"(?P<doc>(?<![^\n])(?:[ \t]*//[^\n]*\n)*[ \t]*//[^\n]*)|(?P<note>//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)"
         + r"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.[^'\n]*)'|`[^`]*`"
         + r"|^func[ \t]*(?:\([^()\n]*\)[ \t]*)?(?P<whole>[^\W\d]\w*)"
-        + r"|(?P<open>[({])|(?P<close>[)}])|[^\n\"'`/(){}]+|\n",
+        + r"|" + _GROUP + r"|(?P<open>[({])|(?P<close>[)}])|[^\n\"'`/(){}]+\n*|\n+",
         re.M,
     ),
 }
@@ -58,13 +62,16 @@ _LEX["python"] = re.compile(
     + r"|(?P<head1>:)[ \t]*(?P<text1>[rRuU]?" + _PY_STRING + r")" + _PY_END
     + r"|(?P<head2>:)[ \t]*(?:\#[^\n]*)?(?=\n)|[A-Za-z]{0,2}" + _PY_STRING
     + r"|^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<whole>[^\W\d]\w*)"
-    + r"|\([^(){}\[\]\"'\#\n]*\)(?!\n?[ \t]*:[ \t]*[rRuU]?['\"])|(?P<open>[({\[])|(?P<close>[)}\]])|(?P<inline>:)|[A-Za-z_]\w*|[^\n\"'\#(){}\[\]:A-Za-z_]+|\n",
+    + r"|\([^(){}\[\]\"'\#\n]*\)(?!\n?[ \t]*:[ \t]*[rRuU]?['\"])|(?P<open>[({\[])|(?P<close>[)}\]])|:|[A-Za-z_]\w*|[^\n\"'\#(){}\[\]:A-Za-z_]+\n*|\n+",
     re.M,
 )
 _PARAMS = re.compile(r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)")
+_ONE_LINE = re.compile(r"[^:\n#]*:[ \t]*(?![rRuU]?['\"])[^\s#]")
 _FAMILY = {"python": "python", "javascript": "script", "typescript": "script", "go": "go", "java": "java"}
-#: Kinds of rows: open, close, group, semi, arrow, whole (a function for certain), method, binding, doc, note, at, header.
-_KIND = {"g": "group", "head": "header", "head1": "header", "head2": "header", "inline": "header", "bound": "whole"}
+#: Kinds of rows: open, close, arrow, whole (a function for certain), method, binding, doc, note, at, header.
+_KIND = {"head": "header", "head1": "header", "head2": "header", "bound": "whole"}
+#: A file without any of these documents nothing.
+_COMMENTED = {"doc", "header"}
 _TOKEN = "array<struct<idx int, line int, last int, kind string, text string>>"
 
 
@@ -91,12 +98,14 @@ def structural_tokens(text: str, lang: str) -> list[tuple[int, int, int, str, st
             kept = m[kind]
         elif kind in ("whole", "method", "binding", "bound"):
             params = _PARAMS.search(text, end)
+            if python and params and _ONE_LINE.match(text, params.end()):
+                continue  # its body is on the line and no docstring
             kept = m[kind] + "\n" + re.sub(r"\s+", " ", m[0].strip() + (params[0] if params and params.start() - end < 200 else ""))
         elif kind == "head" or kind == "head1":
             kept = m["text"] or m["text1"]
         if kind == "open" or kind == "close":
             out.append((len(out), line, line, kind, m[0]))
-        elif not (kind == "inline" and not python):
+        else:
             out.append((len(out), line, line + count("\n", start, end), _KIND.get(kind, kind), kept))
     return out
 
@@ -184,13 +193,14 @@ def documented_functions(files: DataFrame) -> DataFrame:
     key = ["repository_id", "node_id"]
 
     def lex(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        return pd.Series([[] if verdict(t, n, False)[0] else structural_tokens(t, n) for t, n in zip(texts, langs)])
+        found = [structural_tokens(t, n) for t, n in zip(texts, langs)]
+        return pd.Series([x if any(r[3] in _COMMENTED for r in x) and not verdict(t, n, False)[0] else [] for x, t, n in zip(found, texts, langs)])
 
-    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = files.select(*key, "ingested_at", language_of(F.col("node_id")).alias("lang"), "text").filter("lang is not null and text is not null")
-    one = ready.repartition(parts, *key).groupBy(*key, "lang").agg(F.max_by("text", F.struct("ingested_at", F.xxhash64("text"))).alias("text"))
-    lexed = one.withColumn("tokens", F.pandas_udf(lex, _TOKEN)("text", "lang"))
-    rows = lexed.select(*key, "lang", F.explode("tokens").alias("t")).select(*key, "lang", "t.*")
+    lexed = ready.select(*key, "lang", "ingested_at", F.pandas_udf(lex, _TOKEN)("text", "lang").alias("tokens"))
+    # the latest row of a file; its tokens stay in the partition of its key, so that no window moves them again
+    one = lexed.groupBy(*key).agg(F.max_by(F.struct("lang", "tokens"), F.struct("ingested_at", F.xxhash64("tokens"))).alias("x"))
+    rows = one.select(*key, "x.lang", F.explode("x.tokens").alias("t")).select(*key, "lang", "t.*")
 
     kind, text = F.col("kind"), F.col("text")
     file = Window.partitionBy(*key).orderBy("idx")
@@ -205,7 +215,7 @@ def documented_functions(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("above", F.when(kind.isin("whole", "method", "binding"), above))
     rows = rows.filter(F.when(F.col("lang") == "python", kind.isin("whole", "header")).otherwise(~kind.isin("doc", "note", "at")))
     level = Window.partitionBy(*key, "level").orderBy("idx")
-    shape = F.when(kind.isin("open", "close"), text).when(kind == "group", "()").otherwise(kind)
+    shape = F.when(kind.isin("open", "close"), text).otherwise(kind)
     rows = rows.withColumn("shape", shape)
     ahead = [F.lead("shape", i).over(level) for i in range(1, 4)]
     place = [F.lead("line", i).over(level) for i in range(1, 5)]
@@ -213,10 +223,11 @@ def documented_functions(files: DataFrame) -> DataFrame:
         "*", *[a.alias(f"a{i + 1}") for i, a in enumerate(ahead)], *[p.alias(f"l{i + 1}") for i, p in enumerate(place)],
         F.lead("text", 1).over(level).alias("t1"), F.lead("last", 1).over(level).alias("e1"),
     )
-    simple = F.col("a1") == "()"
-    after = F.when(simple, F.col("a2")).when((F.col("a1") == "(") & (F.col("a2") == ")"), F.col("a3"))
-    end = F.when(simple, F.col("l3")).otherwise(F.col("l4"))
-    braces = ((kind == "whole") | ((kind == "method") & (after == "{")) | ((kind == "binding") & (after == "arrow")))
+    # what follows the parameter list, and where the body that opens there ends
+    nested = (F.col("a1") == "(") & (F.col("a2") == ")")
+    after = F.when(nested, F.col("a3")).otherwise(F.col("a1"))
+    end = F.when(nested, F.col("l4")).otherwise(F.col("l2"))
+    braces = (kind == "whole") | ((kind == "method") & (after == "{")) | ((kind == "binding") & (after == "arrow"))
     python = F.col("lang") == "python"
     go = F.col("lang") == "go"
     attached = (F.col("above.kind") == "doc") & (F.col("above.island") == F.col("island"))
