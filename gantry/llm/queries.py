@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gantry.llm.docs import documented_functions
 from gantry.llm.parsing import parse_files, parse_rates
 from gantry.llm.provenance import mark_files, provenance_report
+from gantry.llm.spam import judge_pages
 from gantry.sources.tables import table
 
 
@@ -39,6 +40,15 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
     return parse_rates(parse_files(table(spark, folder, "source_text")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_rates": p4_rates}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_pages(table(spark, folder, "documents").select("doc_id", "text")).filter("spam").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Information, repetition and list shares of every page, with the verdict."""
+    return judge_pages(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_rates": p4_rates, "p10_found": p10_found, "p10_scores": p10_scores}
 
 SQL: dict[str, str] = {}
