@@ -91,8 +91,9 @@ def structural_tokens(text: str, lang: str) -> list[tuple[int, int, int, str, st
             start = m.start(kind)
         elif kind in ("doc", "at"):
             start += len(m[0]) - len(m[0].lstrip())
-        line += count("\n", at, start)
-        at = start
+        if start > at:
+            line += count("\n", at, start)
+            at = start
         kept = None
         if kind == "doc":
             kept = m[kind]
@@ -100,7 +101,7 @@ def structural_tokens(text: str, lang: str) -> list[tuple[int, int, int, str, st
             params = _PARAMS.search(text, end)
             if python and params and _ONE_LINE.match(text, params.end()):
                 continue  # its body is on the line and no docstring
-            kept = m[kind] + "\n" + re.sub(r"\s+", " ", m[0].strip() + (params[0] if params and params.start() - end < 200 else ""))
+            kept = m[kind] + "\n" + " ".join((m[0] + (params[0] if params and params.start() - end < 200 else "")).split())
         elif kind == "head" or kind == "head1":
             kept = m["text"] or m["text1"]
         if kind == "open" or kind == "close":
@@ -196,10 +197,10 @@ def documented_functions(files: DataFrame) -> DataFrame:
         found = [structural_tokens(t, n) for t, n in zip(texts, langs)]
         return pd.Series([x if any(r[3] in _COMMENTED for r in x) and not verdict(t, n, False)[0] else [] for x, t, n in zip(found, texts, langs)])
 
-    ready = files.select(*key, "ingested_at", language_of(F.col("node_id")).alias("lang"), "text").filter("lang is not null and text is not null")
-    lexed = ready.select(*key, "lang", "ingested_at", F.pandas_udf(lex, _TOKEN)("text", "lang").alias("tokens"))
+    ready = files.select(*key, "ingested_at", language_of(F.col("node_id")).alias("lang"), "text", F.xxhash64("text").alias("hash")).filter("lang is not null and text is not null")
+    lexed = ready.select(*key, "lang", "ingested_at", "hash", F.pandas_udf(lex, _TOKEN)("text", "lang").alias("tokens"))
     # the latest row of a file; its tokens stay in the partition of its key, so that no window moves them again
-    one = lexed.groupBy(*key).agg(F.max_by(F.struct("lang", "tokens"), F.struct("ingested_at", F.xxhash64("tokens"))).alias("x"))
+    one = lexed.groupBy(*key).agg(F.max_by(F.struct("lang", "tokens"), F.struct("ingested_at", "hash")).alias("x"))
     rows = one.select(*key, "x.lang", F.explode("x.tokens").alias("t")).select(*key, "lang", "t.*")
 
     kind, text = F.col("kind"), F.col("text")

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gantry.llm.conversations import channel_threads, rebuild_conversations
 from gantry.llm.docs import documented_functions
+from gantry.llm.mixing import mix_sources
+from gantry.llm.packing import pack_documents, packing_report
 from gantry.llm.parsing import parse_files, parse_rates
 from gantry.llm.provenance import mark_files, provenance_report
+from gantry.llm.ranking import outranking
 from gantry.llm.spam import judge_pages
 from gantry.sources.tables import table
 
@@ -40,6 +45,48 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
     return parse_rates(parse_files(table(spark, folder, "source_text")))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return rebuild_conversations(table(spark, folder, "chat_messages"), table(spark, folder, "chat_conversations")).select("conversation_id", "turn_no", "message_id")
+
+
+def p6_threads(spark: SparkSession, folder: str) -> DataFrame:
+    """Threads found in each repository's interleaved messages without their conversation ids."""
+    return channel_threads(table(spark, folder, "chat_messages"), table(spark, folder, "chat_conversations"))
+
+
+def p7_rank(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = table(spark, folder, "graph_nodes").filter("node_type = 'file'")
+    columns = ["pagerank", "betweenness", "symbol_count"]
+    # duplicate rows count once; of several rows of one key the latest
+    one = nodes.groupBy("repository_id", "node_id").agg(F.max_by(F.struct(*columns), F.struct("created_at", F.xxhash64(*columns))).alias("x")).select("repository_id", "node_id", "x.*")
+    return outranking(one, ["repository_id", "node_id"], "repository_id", {"pagerank": 1.0, "betweenness": 1.0, "symbol_count": 1.0})
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    windows = [(r["window_name"], r["capacity_tokens"]) for r in table(spark, folder, "pack_windows").distinct().orderBy("window_name").collect()]
+    return pack_documents(table(spark, folder, "documents"), windows)
+
+
+def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder)
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing_report(_packed(spark, folder), table(spark, folder, "pack_windows"))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The largest mix that meets every target share exactly."""
+    return mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares reached by the exact mix and by one as large as all documents."""
+    documents, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
+    exact, full = (mix_sources(documents, targets, full=f)[1].withColumn("budget_kind", F.lit(k)) for f, k in ((False, "exact"), (True, "full")))
+    return exact.unionByName(full)
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return judge_pages(table(spark, folder, "documents").select("doc_id", "text")).filter("spam").select("doc_id")
 
@@ -49,6 +96,6 @@ def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
     return judge_pages(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_rates": p4_rates, "p10_found": p10_found, "p10_scores": p10_scores}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_rates": p4_rates, "p6_found": p6_found, "p6_threads": p6_threads, "p7_rank": p7_rank, "p8_pack": p8_pack, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
 
 SQL: dict[str, str] = {}
