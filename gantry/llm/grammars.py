@@ -88,7 +88,7 @@ _NL_PY = r"(?:[ \t\f]*(?:\#[^\n]*)?\n)+[ \t\f]*"
 _IN = r"(?:[^{}'\"\n]|'[^'\n]*'|\"[^\"\n]*\"|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*"  # of an f-string's braces
 _IN3 = r"(?:[^{}'\"]|'[^']*'|\"[^\"]*\"|\{(?:[^{}]|\{[^{}]*\})*\})*"
 _PY_LEX = re.compile(
-    r"(?:[ \t\f]+|\\\n)*+("
+    r"(?:[ \t\f]+|\\\n)*+([^\W\d]\w*+(?!['\"])|[=(),.:\[\]](?![=\d.])|"
     + _NL_PY.replace(r"(?:[ \t\f]*(?:\#[^\n]*)?\n)+", r"(?:\#[^\n]*)?\n(?:[ \t\f]*(?:\#[^\n]*)?\n)*")
     + r"|\#[^\n]*"
     r"|(?:[rR]?[fF]|[fF][rR])(?:'''(?:[^'\\{}]|\\[^{}]|\\(?=[{}])|'(?!'')|\{\{|\}\}|\{" + _IN3 + r"\})*'''|\"\"\"(?:[^\"\\{}]|\\[^{}]|\\(?=[{}])|\"(?!\"\")|\{\{|\}\}|\{" + _IN3 + r"\})*\"\"\""
@@ -513,7 +513,7 @@ class Python(Language):
         raw = "".join(map(self.kinds.__getitem__, tokens))
         lines = [t for t in tokens if t and t[0] in "\n#" and "\n" in t]
         out, stack, depth, indent = [], [0], 0, 0
-        brackets, opens = self.brackets, self.opens
+        brackets, opens, nets = self.brackets, self.opens, self.nets
         for j, part in enumerate(raw.split("L")):
             if part:
                 if not depth and indent != stack[-1]:
@@ -528,10 +528,18 @@ class Python(Language):
                             out.append(BAD)
                             stack.append(indent)
                 out.append(part)
-                for c in brackets(part):
-                    depth += 1 if c in opens else -1
-                if depth < 0:
+                net = nets.get(part)
+                if net is None:  # (change of depth, lowest depth on the way)
+                    change = lowest = 0
+                    for c in brackets(part):
+                        change += 1 if c in opens else -1
+                        lowest = min(lowest, change)
+                    if len(nets) > 50_000:
+                        nets.clear()
+                    net = nets[part] = (change, lowest)
+                if depth + net[1] < 0:
                     return "".join(out) + BAD, ""
+                depth += net[0]
                 if not depth:
                     out.append("N")
             if j < len(lines):
@@ -598,6 +606,7 @@ def _python() -> Python:
     lang = Python("python", _PY_LEX, g, _PY_NUM)
     lang.brackets = re.compile("[" + "".join(g.kinds[x] for x in "([{)]}") + "]").findall
     lang.opens = "".join(g.kinds[x] for x in "([{")
+    lang.nets = {}
     return lang
 
 
