@@ -9,8 +9,10 @@ islands of adjacent lines attach the comment directly above.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,13 +72,12 @@ _ONE_LINE = re.compile(r"[^:\n#]*:[ \t]*(?![rRuU]?['\"])[^\s#]")
 _FAMILY = {"python": "python", "javascript": "script", "typescript": "script", "go": "go", "java": "java"}
 #: Kinds of rows: open, close, arrow, whole (a function for certain), method, binding, doc, note, at, header.
 _KIND = {"head": "header", "head1": "header", "head2": "header", "bound": "whole"}
-#: A file without any of these documents nothing.
-_COMMENTED = {"doc", "header"}
-_TOKEN = "array<struct<idx int, line int, last int, kind string, text string>>"
+_HEADS = {"whole", "method", "binding"}
+_LEXED = "repository_id string, node_id string, lang string, at bigint, hash bigint, tokens array<struct<line int, last int, kind string, text string>>"
 
 
-def structural_tokens(text: str, lang: str) -> list[tuple[int, int, int, str, str | None]]:
-    """(idx, line, last line, kind, text) of the tokens that delimit functions and their documentation."""
+def structural_tokens(text: str, lang: str) -> list[tuple[int, int, str, str | None]]:
+    """(line, last line, kind, text) of the tokens that delimit functions and their documentation."""
     text = clean(text)
     out, line, at, python = [], 1, 0, lang == "python"
     count = text.count
@@ -105,9 +106,9 @@ def structural_tokens(text: str, lang: str) -> list[tuple[int, int, int, str, st
         elif kind == "head" or kind == "head1":
             kept = m["text"] or m["text1"]
         if kind == "open" or kind == "close":
-            out.append((len(out), line, line, kind, m[0]))
+            out.append((line, line, kind, m[0]))
         else:
-            out.append((len(out), line, line + count("\n", start, end), _KIND.get(kind, kind), kept))
+            out.append((line, line + count("\n", start, end), _KIND.get(kind, kind), kept))
     return out
 
 
@@ -193,15 +194,27 @@ def documented_functions(files: DataFrame) -> DataFrame:
     """
     key = ["repository_id", "node_id"]
 
-    def lex(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        found = [structural_tokens(t, n) for t, n in zip(texts, langs)]
-        return pd.Series([x if any(r[3] in _COMMENTED for r in x) and not verdict(t, n, False)[0] else [] for x, t, n in zip(found, texts, langs)])
+    def lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, rows = [0], []
+            for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
+                found = structural_tokens(text, lang)
+                # without a head and a documentation comment there is nothing to pair, whether it parses or not
+                if any(r[2] in _HEADS for r in found) and any(r[2] == "doc" or r[2] == "header" and r[3] for r in found) and not verdict(text, lang, False)[0]:
+                    rows += found
+                ends.append(len(rows))
+            columns = list(zip(*rows)) or [[], [], [], []]
+            fields = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.string()))]
+            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["line", "last", "kind", "text"]))
+            names = ["repository_id", "node_id", "lang", "at", "hash"]
+            yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], tokens], [*names, "tokens"])
 
-    ready = files.select(*key, "ingested_at", language_of(F.col("node_id")).alias("lang"), "text", F.xxhash64("text").alias("hash")).filter("lang is not null and text is not null")
-    lexed = ready.select(*key, "lang", "ingested_at", "hash", F.pandas_udf(lex, _TOKEN)("text", "lang").alias("tokens"))
+    at = F.unix_micros(F.col("ingested_at").cast("timestamp"))
+    ready = files.select(*key, language_of(F.col("node_id")).alias("lang"), at.alias("at"), F.xxhash64("text").alias("hash"), "text").filter("lang is not null and text is not null")
+    lexed = ready.mapInArrow(lex, _LEXED)
     # the latest row of a file; its tokens stay in the partition of its key, so that no window moves them again
-    one = lexed.groupBy(*key).agg(F.max_by(F.struct("lang", "tokens"), F.struct("ingested_at", "hash")).alias("x"))
-    rows = one.select(*key, "x.lang", F.explode("x.tokens").alias("t")).select(*key, "lang", "t.*")
+    one = lexed.groupBy(*key).agg(F.max_by(F.struct("lang", "tokens"), F.struct("at", "hash")).alias("x"))
+    rows = one.select(*key, "x.lang", F.posexplode("x.tokens").alias("idx", "t")).select(*key, "lang", "idx", "t.*")
 
     kind, text = F.col("kind"), F.col("text")
     file = Window.partitionBy(*key).orderBy("idx")

@@ -85,7 +85,7 @@ def test_what_counts_as_documentation():
 def test_tokens_cover_brackets():
     rows = structural_tokens(SCRIPT, "typescript")
     depth = 0
-    for _, _, _, kind, _ in rows:
+    for _, _, kind, _ in rows:
         depth += (kind == "open") - (kind == "close")
         assert depth >= 0
     assert depth == 0
