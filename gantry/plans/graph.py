@@ -8,7 +8,7 @@ from gantry.operators import graph as G
 from gantry.sources.frames import file_edges
 from gantry.sources.tables import table
 
-_FOLDER = F.regexp_extract("node", r"^([^/]+(?:/[^/]+)?)/", 1)
+FOLDER = r"^([^/]+(?:/[^/]+)?)/"
 RULES = [("no_app_from_libs", "^libs/", "^app/"), ("no_tests_from_src", "^(src|app|libs)/", r"^tests/")]
 
 
@@ -26,7 +26,7 @@ def _nodes(spark, folder, kind):
 
 
 def _groups(spark, folder):
-    return G.nodes_of(_imports(spark, folder)).withColumn("group", _FOLDER)
+    return G.nodes_of(_imports(spark, folder)).withColumn("group", F.regexp_extract("node", FOLDER, 1))
 
 
 def degrees(spark, folder):
