@@ -11,7 +11,7 @@ from gantry.llm.mixing import mix_sources
 from gantry.llm.packing import pack_documents, packing_report
 from gantry.llm.parsing import parse_files, parse_rates
 from gantry.llm.provenance import mark_files, provenance_report
-from gantry.llm.ranking import outranking
+from gantry.llm.ranking import INDIFFERENT, STEPS, STRICT, outranking
 from gantry.llm.spam import judge_pages
 from gantry.sources.tables import table
 
@@ -98,4 +98,31 @@ def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_rates": p4_rates, "p6_found": p6_found, "p6_threads": p6_threads, "p7_rank": p7_rank, "p8_pack": p8_pack, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
 
-SQL: dict[str, str] = {}
+_P6 = r"""
+WITH m AS (SELECT DISTINCT id, conversation_id, role, content_json, created_at FROM chat_messages WHERE conversation_id IS NOT NULL),
+r AS (SELECT *, CASE WHEN lower(trim(role)) IN ('user', 'human') THEN 'user' WHEN lower(trim(role)) IN ('assistant', 'ai') THEN 'assistant' WHEN lower(trim(role)) = 'system' THEN 'system' END AS who,
+  CASE WHEN ltrim(content_json) LIKE '{%' AND json_valid(content_json) THEN content_json::JSON END AS j FROM m),
+c AS (SELECT *, CASE WHEN j IS NULL THEN content_json ELSE j->>'text' END AS text, CASE WHEN j IS NULL THEN 0 ELSE coalesce(json_array_length(j, '$.tool_calls'), 0) END AS calls,
+  CASE WHEN j IS NULL THEN 0 ELSE coalesce(len(list_filter(j->>'$.tool_calls[*].result', lambda x: x IS NOT NULL)), 0) END AS results FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at NULLS LAST, CASE who WHEN 'system' THEN 0 WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END, id) AS turn_no,
+  count(*) FILTER (who = 'system') OVER (PARTITION BY conversation_id) AS systems, count(*) OVER (PARTITION BY conversation_id) AS n FROM c),
+k AS (SELECT conversation_id FROM o GROUP BY conversation_id HAVING bool_and(coalesce(created_at IS NOT NULL AND who IS NOT NULL AND (trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' OR (who = 'assistant' AND calls > 0)) AND calls = results
+  AND CASE WHEN turn_no <= systems THEN who = 'system' WHEN (turn_no - systems) % 2 = 1 THEN who = 'user' ELSE who = 'assistant' END, false)) AND max(n - systems) >= 2 AND max(n - systems) % 2 = 0)
+SELECT conversation_id, turn_no::INT AS turn_no, id AS message_id FROM o WHERE conversation_id IN (SELECT conversation_id FROM k) AND conversation_id IN (SELECT id FROM chat_conversations)
+"""
+
+_P7 = f"""
+WITH f AS (SELECT DISTINCT repository_id, node_id, pagerank, betweenness, symbol_count FROM graph_nodes WHERE node_type = 'file'),
+l AS (SELECT * FROM (SELECT repository_id, node_id, 'p' AS metric, pagerank AS v FROM f UNION ALL SELECT repository_id, node_id, 'b', betweenness FROM f UNION ALL SELECT repository_id, node_id, 's', symbol_count FROM f) WHERE v IS NOT NULL AND NOT isnan(v)),
+p AS (SELECT *, floor((2 * (rank() OVER (PARTITION BY repository_id, metric ORDER BY v) - 1) + count(*) OVER (PARTITION BY repository_id, metric, v)) * {STEPS} / (2.0 * count(*) OVER (PARTITION BY repository_id, metric))) AS at_pct FROM l),
+u AS (SELECT a.repository_id, a.node_id, a.metric, sum(greatest(0, least(1, (a.at_pct - b.at_pct - {INDIFFERENT * STEPS}) / {(STRICT - INDIFFERENT) * STEPS})) - greatest(0, least(1, (b.at_pct - a.at_pct - {INDIFFERENT * STEPS}) / {(STRICT - INDIFFERENT) * STEPS}))) / greatest(count(*) - 1, 1) AS flow
+  FROM p a JOIN p b ON a.repository_id = b.repository_id AND a.metric = b.metric GROUP BY ALL),
+o AS (SELECT a.repository_id, a.node_id, a.metric, sum(greatest(0, least(1, (a.at_pct - b.at_pct - {INDIFFERENT * STEPS}) / {(STRICT - INDIFFERENT) * STEPS})) - greatest(0, least(1, (b.at_pct - a.at_pct - {INDIFFERENT * STEPS}) / {(STRICT - INDIFFERENT) * STEPS}))) / greatest(count(*) - 1, 1) AS flow
+  FROM p a JOIN p b ON a.metric = b.metric GROUP BY ALL),
+us AS (SELECT repository_id, node_id, sum(flow) / 3 AS flow FROM u GROUP BY ALL), os AS (SELECT repository_id, node_id, sum(flow) / 3 AS flow FROM o GROUP BY ALL),
+j AS (SELECT f.*, round(coalesce(us.flow, 0), 9) AS flow, round(coalesce(os.flow, 0), 9) AS overall_flow FROM f LEFT JOIN us USING (repository_id, node_id) LEFT JOIN os USING (repository_id, node_id))
+SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY flow DESC, repository_id, node_id) AS unit_rank, row_number() OVER (ORDER BY overall_flow DESC, repository_id, node_id) AS overall_rank FROM j
+"""
+
+#: The others can't be said in SQL; tests compare them with brute force.
+SQL: dict[str, str] = {"p6_found": _P6, "p7_rank": _P7}
