@@ -219,3 +219,65 @@ def override_dispatch(methods: DataFrame, ancestors: DataFrame) -> DataFrame:
     impl = methods.join(ancestors, ["scope", "type"])
     base = methods.select("scope", F.col("type").alias("ancestor"), "name", F.col("node").alias("base"))
     return impl.join(base, ["scope", "ancestor", "name"]).select("scope", "base", F.col("node").alias("impl")).distinct()
+
+
+#: Above so many nodes in a scope, betweenness takes this many sources, in the order of their hashes.
+EXACT_NODES, SAMPLED_SOURCES = 30_000, 500
+
+
+def betweenness(edges: DataFrame) -> DataFrame:
+    """scope, node, betweenness: Brandes' sums over shortest paths, for all sources of a scope at once.
+
+    Waves of a breadth-first search count the paths forward, the same waves backward give each node
+    its dependency. Scaled by (n - 1)(n - 2), and by the share of sources where a large scope is
+    sampled. The state has a row per source and reached node; scopes up to EXACT_NODES are exact.
+    """
+    scratch = Scratch(edges.sparkSession, "betweenness")
+    step = scratch.write(edges.filter("src <> dst").select("scope", "src", "dst").distinct())
+    nodes = scratch.write(nodes_of(edges))
+    sizes = nodes.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("scope").orderBy(F.xxhash64("scope", "node"), "node")
+    large = sizes.filter(F.col("n") > EXACT_NODES).select("scope")
+    sampled = nodes.join(large, "scope").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= SAMPLED_SOURCES).select("scope", "node")
+    sources = nodes.join(large, "scope", "left_anti").unionByName(sampled)
+    waves = [scratch.write(sources.select("scope", F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
+    while True:
+        met = waves[-1].join(step.withColumnRenamed("src", "node"), ["scope", "node"]).groupBy("scope", "source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        seen = reduce(DataFrame.unionByName, waves).select("scope", "source", "node")
+        wave = scratch.write(met.join(seen, ["scope", "source", "node"], "left_anti"))
+        if not wave.limit(1).count():
+            break
+        waves.append(wave)
+    below = waves[-1].withColumn("delta", F.lit(0.0))
+    parts = []
+    for upper in reversed(waves[:-1]):
+        after = below.select("scope", "source", F.col("node").alias("dst"), F.col("paths").alias("p2"), "delta")
+        share = upper.join(step.withColumnRenamed("src", "node"), ["scope", "node"]).join(after, ["scope", "source", "dst"])
+        got = share.groupBy("scope", "source", "node").agg(F.sum(F.col("paths") / F.col("p2") * (1 + F.col("delta"))).alias("delta"))
+        below = scratch.write(upper.join(got, ["scope", "source", "node"], "left").fillna(0.0, ["delta"]))
+        parts.append(below.filter("node <> source and delta > 0").select("scope", "node", "delta"))
+    if not parts:
+        return nodes.withColumn("betweenness", F.lit(0.0))
+    total = reduce(DataFrame.unionByName, parts).groupBy("scope", "node").agg(F.sum("delta").alias("delta"))
+    n = F.col("n")
+    asked = F.when(n > EXACT_NODES, F.lit(SAMPLED_SOURCES)).otherwise(n)
+    scaled = F.when(n > 2, F.coalesce("delta", F.lit(0.0)) * (n / asked) / ((n - 1) * (n - 2))).otherwise(0.0)
+    return nodes.join(sizes, "scope").join(total, ["scope", "node"], "left").select("scope", "node", F.round(scaled, 9).alias("betweenness"))
+
+
+def system_graph(uses: DataFrame) -> DataFrame:
+    """source, target, kind, weight, confidence of uses(source, target, kind, confidence): one edge per pair and kind."""
+    return uses.groupBy("source", "target", "kind").agg(F.count(F.lit(1)).alias("weight"), F.max("confidence").alias("confidence"))
+
+
+def breaking_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """contract, field, change, breaking of two states (contract, field, type, required): removed, type_changed, newly_required or added.
+
+    A contract that is missing on one side as a whole is removed or added as one row with a null field.
+    """
+    gone = before.select("contract").distinct().join(after.select("contract").distinct(), "contract", "left_anti").select("contract", F.lit(None).cast("string").alias("field"), F.lit("removed").alias("change"))
+    both = before.join(after.select("contract").distinct(), "contract", "left_semi").select("contract", F.col("field").cast("string").alias("field"), F.col("type").alias("t0"), F.col("required").alias("r0"), F.lit(True).alias("had"))
+    now = after.select("contract", F.col("field").cast("string").alias("field"), F.col("type").alias("t1"), F.col("required").alias("r1"), F.lit(True).alias("has"))
+    x = both.join(now, ["contract", "field"], "full_outer")
+    change = F.when(F.col("has").isNull(), "removed").when(F.col("had").isNull(), "added").when(F.col("t0") != F.col("t1"), "type_changed").when(~F.col("r0") & F.col("r1"), "newly_required")
+    return x.select("contract", "field", change.alias("change")).filter("change is not null").unionByName(gone).withColumn("breaking", F.col("change") != "added")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gantry.operators import graph as G
-from gantry.sources.frames import file_edges
+from gantry.sources.frames import SQL as FRAMES
+from gantry.sources.frames import changes, commits, file_edges
 from gantry.sources.tables import table
 
 FOLDER = r"^([^/]+(?:/[^/]+)?)/"
@@ -97,7 +98,37 @@ def propagation_cost(spark, folder):
     return G.propagation_cost(_imports(spark, folder), 3)
 
 
-QUERIES = {f.__name__: f for f in (degrees, pagerank, label_communities, folder_cohesion, super_graph, short_cycles, scc, blast_radius, tests_reaching, path_lengths, execution_flows, entry_scores, unreferenced_files, conformance, propagation_cost)}
+def betweenness(spark, folder):
+    return G.betweenness(_imports(spark, folder))
+
+
+def system_graph(spark, folder):
+    """Repositories and the packages that their files use, by type of edge."""
+    e = table(spark, folder, "graph_edges").filter(F.col("target_node_id").startswith("external:")).dropDuplicates(["id"])
+    return G.system_graph(e.select(F.col("repository_id").alias("source"), F.expr("substring(target_node_id, 10)").alias("target"), F.col("edge_type").alias("kind"), "confidence"))
+
+
+def breaking_changes(spark, folder):
+    """Brands as contracts and parts as their fields, in two states."""
+    p = table(spark, folder, "part")
+    key = F.col("p_partkey")
+    before = p.filter(key % 10 != 0).select(F.col("p_brand").alias("contract"), key.alias("field"), F.col("p_type").alias("type"), (F.col("p_size") > 25).alias("required"))
+    after = p.filter(key % 10 != 1).select(F.col("p_brand").alias("contract"), key.alias("field"), F.when(F.col("p_size") > 45, "CHANGED").otherwise(F.col("p_type")).alias("type"), (F.col("p_size") > 20).alias("required"))
+    return G.breaking_changes(before, after)
+
+
+def decision_currency(spark, folder):
+    """For each urgent order as a decision: later orders that touch one of its suppliers."""
+    own = changes(spark, folder, "l_suppkey").select("sha", "path").distinct()
+    c = commits(spark, folder).select("sha", "ts")
+    made = c.join(commits(spark, folder).filter("is_fix").select("sha"), "sha", "left_semi").withColumnRenamed("ts", "since")
+    governed = own.join(made, "sha").select(F.col("sha").alias("decision"), "path", "since")
+    later = own.join(c, "sha")
+    met = governed.join(later, "path").filter(F.col("ts") > F.col("since"))
+    return met.groupBy("decision").agg(F.countDistinct("sha").alias("later_commits"))
+
+
+QUERIES = {f.__name__: f for f in (betweenness, system_graph, breaking_changes, decision_currency, degrees, pagerank, label_communities, folder_cohesion, super_graph, short_cycles, scc, blast_radius, tests_reaching, path_lengths, execution_flows, entry_scores, unreferenced_files, conformance, propagation_cost)}
 
 _E = "edges AS (SELECT DISTINCT repository_id AS scope, source_node_id AS src, target_node_id AS dst FROM graph_edges WHERE target_node_id IS NOT NULL AND edge_type = 'imports'), nodes AS (SELECT scope, src AS node FROM edges UNION SELECT scope, dst FROM edges)"
 _N = "n AS (SELECT repository_id AS scope, node_id AS node, max(visibility) AS visibility, max(name) AS name, bool_or(is_entry_point) AS is_entry_point, bool_or(is_test) AS is_test FROM graph_nodes WHERE node_type = '{0}' GROUP BY ALL)"
@@ -151,4 +182,9 @@ SQL = {
     "unreferenced_files": f"WITH {_N.format('file')}, u AS (SELECT DISTINCT repository_id AS scope, target_node_id AS node FROM graph_edges WHERE target_node_id IS NOT NULL AND source_node_id <> target_node_id AND edge_type IN ('imports', 'references', 'type_use')) SELECT n.scope, n.node, (CASE WHEN regexp_matches(lower(n.node), '(^|[/_.-])(plugin|hook|handler|migration|config|settings|main|index|setup|conftest|register)') THEN 0.4 WHEN is_test IS NULL THEN 0.7 ELSE 0.9 END)::DOUBLE AS confidence FROM n ANTI JOIN u ON u.scope = n.scope AND u.node = n.node WHERE NOT coalesce(is_entry_point, false) AND NOT coalesce(is_test, false)",
     "conformance": f"WITH {_E} SELECT scope, src, dst, 'no_app_from_libs' AS rule FROM edges WHERE regexp_matches(src, '^libs/') AND regexp_matches(dst, '^app/') UNION ALL SELECT scope, src, dst, 'no_tests_from_src' FROM edges WHERE regexp_matches(src, '^(src|app|libs)/') AND regexp_matches(dst, '^tests/')",
     "propagation_cost": f"WITH {_E}, e AS (SELECT scope, src, dst FROM edges WHERE src <> dst), two AS (SELECT a.scope, a.src, b.dst FROM e a JOIN e b ON b.scope = a.scope AND b.src = a.dst), three AS (SELECT a.scope, a.src, b.dst FROM two a JOIN e b ON b.scope = a.scope AND b.src = a.dst), p AS (SELECT * FROM e UNION SELECT * FROM two UNION SELECT * FROM three), c AS (SELECT scope, count(*) AS pairs FROM p WHERE src <> dst GROUP BY scope), s AS (SELECT scope, count(*) AS n FROM nodes GROUP BY scope) SELECT scope, n, round(CASE WHEN n > 1 THEN coalesce(pairs, 0) / (n * (n - 1)) ELSE 0 END, 6) AS cost FROM s LEFT JOIN c USING (scope)",
+    "system_graph": "WITH e AS (SELECT DISTINCT id, repository_id, target_node_id, edge_type, confidence FROM graph_edges WHERE starts_with(target_node_id, 'external:')) SELECT repository_id AS source, substr(target_node_id, 10) AS target, edge_type AS kind, count(*) AS weight, max(confidence) AS confidence FROM e GROUP BY ALL",
+    "breaking_changes": """WITH b AS (SELECT p_brand AS contract, p_partkey::VARCHAR AS field, p_type AS t0, p_size > 25 AS r0 FROM part WHERE p_partkey % 10 <> 0), a AS (SELECT p_brand AS contract, p_partkey::VARCHAR AS field, CASE WHEN p_size > 45 THEN 'CHANGED' ELSE p_type END AS t1, p_size > 20 AS r1 FROM part WHERE p_partkey % 10 <> 1),
+x AS (SELECT coalesce(a.contract, b.contract) AS contract, coalesce(a.field, b.field) AS field, CASE WHEN a.field IS NULL THEN 'removed' WHEN b.field IS NULL THEN 'added' WHEN t0 <> t1 THEN 'type_changed' WHEN NOT r0 AND r1 THEN 'newly_required' END AS change FROM b FULL JOIN a ON a.contract = b.contract AND a.field = b.field)
+SELECT *, change <> 'added' AS breaking FROM x WHERE change IS NOT NULL""",
+    "decision_currency": f"WITH {FRAMES['commits']}, {FRAMES['supplies']}, own AS (SELECT DISTINCT sha, path FROM changes), g AS (SELECT own.sha AS decision, path, ts AS since FROM own JOIN commits USING (sha) WHERE is_fix), l AS (SELECT own.sha, path, ts FROM own JOIN commits USING (sha)) SELECT decision, count(DISTINCT sha) AS later_commits FROM g JOIN l USING (path) WHERE ts > since GROUP BY decision",
 }

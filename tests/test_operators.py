@@ -72,6 +72,35 @@ def test_graph_operators(spark):
     assert G.strongly_connected(empty).count() == G.short_cycles(empty).count() == G.reach(seeds.limit(0), empty, 2).count() == 0
 
 
+def test_betweenness_equals_brute_force(spark):
+    import itertools
+    from collections import deque
+
+    edges = [("s", a, b) for a, b in ["ab", "bc", "cd", "ad", "be", "ed", "df", "fa"]] + [("t", "x", "y")]
+    nodes, out = sorted("abcdef"), {}
+
+    def paths(a, b):
+        best, found, queue = None, [], deque([[a]])
+        while queue:
+            p = queue.popleft()
+            if best and len(p) > best:
+                break
+            if p[-1] == b:
+                best = len(p)
+                found.append(p)
+            queue.extend(p + [d] for s, c, d in edges if s == "s" and c == p[-1] and d not in p)
+        return found
+
+    for v in nodes:
+        total = 0.0
+        for a, b in itertools.permutations(nodes, 2):
+            if v not in (a, b) and (ps := paths(a, b)):
+                total += sum(v in p for p in ps) / len(ps)
+        out[v] = total / 20
+    got = {r["node"]: r["betweenness"] for r in G.betweenness(spark.createDataFrame(edges, "scope string, src string, dst string")).filter("scope = 's'").collect()}
+    assert got == pytest.approx(out, abs=1e-8)
+
+
 def test_intervals(spark):
     spans = spark.createDataFrame([("f", "outer", 1, 500), ("f", "inner", 60, 70), ("f", "twin", 60, 70), ("f", "bad", 9, 3)], "file string, span_id string, lo int, hi int")
     ranges = spark.createDataFrame([("f", "r1", 62, 66), ("f", "r2", 63, 140), ("g", "r3", 1, 2), ("f", "r4", None, 2)], "file string, range_id string, rlo int, rhi int")
