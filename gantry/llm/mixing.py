@@ -36,14 +36,13 @@ def bisect(low: float, high: float, test, steps: int = 80) -> float:
 
 
 def solve_weights(tokens: dict[str, int], targets: dict[str, float], repeats: dict[str, int], budget: float | None = None) -> tuple[dict[str, float], float, float, float]:
-    """(weights, budget, exponent, entropy exponent).
+    """(weights, budget, limit exponent, entropy exponent).
 
     Without a budget it is the largest at which every source with tokens reaches its target share
-    within its repeats. With one, the token shares, relative to the targets, are tempered: weights
-    are proportional to target * (token share / target) ** exponent, with the smallest exponent of
-    [0, 1] that respects the repeats; what even exponent 1 can't give is capped, and the rest is
-    shared out among the sources that have room. The entropy exponent is that at which the plain
-    tempered token shares have the targets' entropy.
+    within its repeats. With one, the sources that can't reach theirs are used to their limit, and
+    the rest of the budget goes to the others in proportion to their targets. The exponents are
+    those of the tempered token shares alone: the least of [0, 1] at which they keep the repeats at
+    this budget (1 if none does), and the one at which their entropy is that of the targets.
     """
     live = {s: t for s, t in targets.items() if t > 0 and tokens.get(s, 0) > 0 and repeats.get(s, 0) > 0}
     if not live:
@@ -55,17 +54,11 @@ def solve_weights(tokens: dict[str, int], targets: dict[str, float], repeats: di
     natural = temper({s: n / sum(sizes.values()) for s, n in sizes.items()}, 1.0)
     goal = entropy(target)
     flat = 1.0 - bisect(0.0, 1.0, lambda x: entropy(temper(natural, 1.0 - x)) <= goal)
-    if budget is None:
-        return target, min(room[s] / target[s] for s in live), 0.0, flat
-    budget = min(budget, sum(room.values()))
-
-    def blend(exponent: float) -> dict[str, float]:
-        raw = {s: target[s] * (natural[s] / target[s]) ** exponent for s in live}
-        return temper(raw, 1.0)
-
+    largest = min(room[s] / target[s] for s in live)
+    budget = largest if budget is None else min(budget, sum(room.values()))
     fits = lambda w: all(budget * w[s] <= room[s] * (1 + 1e-12) for s in live)
-    exponent = 1.0 - bisect(0.0, 1.0, lambda x: fits(blend(1.0 - x))) if fits(blend(1.0)) else 0.0
-    weights = blend(exponent)
+    exponent = 1.0 - bisect(0.0, 1.0, lambda x: fits(temper(natural, 1.0 - x))) if fits(natural) else 1.0
+    weights = target
     capped: dict[str, float] = {}
     while True:  # each pass caps at least one more source
         free = [s for s in live if s not in capped]

@@ -119,7 +119,7 @@ def test_pack_documents(spark):
 def test_solve_weights():
     tokens, targets, repeats = {"a": 1000, "b": 100, "c": 10}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "b": 2, "c": 4}
     weights, budget, exponent, flat = solve_weights(tokens, targets, repeats)
-    assert weights == pytest.approx(targets) and budget == pytest.approx(200) and exponent == 0
+    assert weights == pytest.approx(targets) and budget == pytest.approx(200) and 0 <= exponent <= 1
     natural = {"a": 1000 / 1110, "b": 100 / 1110, "c": 10 / 1110}
     powers = {s: x**flat for s, x in natural.items()}
     assert entropy({s: x / sum(powers.values()) for s, x in powers.items()}) == pytest.approx(entropy(targets), abs=1e-6)
