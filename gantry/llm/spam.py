@@ -1,7 +1,7 @@
 """Problem 10: keyword-stuffed and link-list pages, by the mutual information of neighbouring words.
 
-Pair and word counts over the whole corpus give each pair of neighbouring words its pointwise
-mutual information, without the page's own occurrences. Pages whose words don't belong together, or
+Pair and word counts over the distinct texts of the corpus give each pair of neighbouring words its
+pointwise mutual information, without the text's own occurrences, so copies don't vouch for each other. Pages whose words don't belong together, or
 that repeat their collocations beyond measure, are candidates; a candidate is spam if most of its
 words stand outside sentences and ordinary technical content, or one collocation makes up the text.
 """
@@ -93,7 +93,7 @@ def judge_pages(pages: DataFrame) -> DataFrame:
     """doc_id, words, information, normalised, repeated, listed, top, candidate, spam of pages(doc_id, text).
 
     Null, empty and one-word pages have no information and are no spam. Whole texts are read, and
-    counts are those of all pages; repeated rows of a doc_id should be removed before.
+    counts and medians are those of the distinct texts, whose verdict goes to each page with that text.
     """
 
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -101,8 +101,11 @@ def judge_pages(pages: DataFrame) -> DataFrame:
 
     spark = pages.sparkSession
     scratch = Scratch(spark, "pages")
-    facts = scratch.write(pages.select("doc_id", F.pandas_udf(run, PAGE)("text").alias("f")).select("doc_id", "f.*"))
-    rows = facts.select("doc_id", F.explode("pairs").alias("p")).select("doc_id", "p.*")
+    key = F.coalesce(F.sha2("text", 256), F.lit("")).alias("h")
+    ids = scratch.write(pages.select("doc_id", key))
+    texts = pages.select(key, "text").distinct()
+    facts = scratch.write(texts.select("h", F.pandas_udf(run, PAGE)("text").alias("f")).select("h", "f.*"))
+    rows = facts.select("h", F.explode("pairs").alias("p")).select("h", "p.*")
     counts = scratch.write(rows.groupBy("x", "y").agg(F.sum("n").alias("c")))
     # a word's count is that of the pairs it opens; the total is that of all pairs
     first = counts.groupBy("x").agg(F.sum("c").alias("cx"))
@@ -114,14 +117,15 @@ def judge_pages(pages: DataFrame) -> DataFrame:
     information = F.log(others * F.col("m") / (F.col("cx") * F.col("cy")))
     normalised = information / -F.log(others / F.col("m"))
     n = F.col("n")
-    by_page = met.groupBy("doc_id").agg(
+    by_text = met.groupBy("h").agg(
         (F.sum(n * information) / F.sum(n)).alias("information"), (F.sum(n * normalised) / F.sum(n)).alias("normalised"),
         (F.sum(F.when(n >= 3, n).otherwise(0)) / F.sum(n)).alias("repeated"),
     )
-    joined = facts.drop("pairs").join(by_page, "doc_id", "left")
+    joined = facts.drop("pairs").join(by_text, "h", "left")
     long = F.col("words") >= LEAST_WORDS
     medians = joined.filter(long).agg(F.percentile_approx("information", 0.5, 10000).alias("mi"), F.percentile_approx("normalised", 0.5, 10000).alias("mn"))
     judged = joined.crossJoin(F.broadcast(medians))
     candidate = long & ((F.col("information") < F.col("mi") - BELOW_MEDIAN) | (F.col("normalised") < F.col("mn") - BELOW_NORMALISED) | (F.col("repeated") > REPEATED_SHARE))
     listed = (F.col("listed") > LIST_SHARE) | ((F.col("top") > ONE_COLLOCATION) & (F.col("words") >= LEAST_FOR_ONE))
-    return judged.withColumn("candidate", F.coalesce(candidate, F.lit(False))).withColumn("spam", F.col("candidate") & listed).drop("mi", "mn")
+    verdict = judged.withColumn("candidate", F.coalesce(candidate, F.lit(False))).withColumn("spam", F.col("candidate") & listed).drop("mi", "mn")
+    return lookup(ids, verdict, ["h"], "inner").drop("h")

@@ -156,3 +156,21 @@ def test_spam_pages(spark):
     assert {k for k, v in got.items() if v} == {k for k, _ in spam} and len(got) == len(good + spam + other)
     assert judge_pages(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     assert list_shares("") == (0, 0.0, 0.0)
+
+
+def test_copies_of_a_spam_page_do_not_vouch_for_it(spark):
+    rng = random.Random(2)
+    nouns = [f"noun{i}" for i in range(50)]
+    say = lambda: f"When the {rng.choice(nouns)} has no {rng.choice(nouns)}, the team keeps it and says so in the log."
+    good = [(i, " ".join(say() for _ in range(6))) for i in range(200)]
+    page = " / ".join(rng.choice(nouns) + " " + rng.choice(nouns) for _ in range(60))
+    copies = [(900 + i, page) for i in range(100)]
+    schema = "doc_id bigint, text string"
+    alone = judge_pages(spark.createDataFrame([*good, copies[0]], schema)).filter("doc_id = 900").first()
+    got = judge_pages(spark.createDataFrame([*good, *copies, (300, good[0][1]), (301, None), (302, None)], schema)).filter("doc_id >= 300").collect()
+    assert sorted(r["doc_id"] for r in got) == [300, 301, 302] + [k for k, _ in copies]
+    for r in got:
+        if r["doc_id"] >= 900:
+            assert r["spam"] and r["information"] == pytest.approx(alone["information"]) and r["normalised"] == pytest.approx(alone["normalised"])
+        else:
+            assert not r["spam"]
