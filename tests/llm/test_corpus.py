@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gantry.llm import queries
 from gantry.llm.conversations import rebuild_conversations
 from gantry.llm.mixing import entropy, mix_sources, solve_weights
 from gantry.llm.packing import pack_documents, pack_histogram, packing_report
@@ -174,3 +175,12 @@ def test_copies_of_a_spam_page_do_not_vouch_for_it(spark):
             assert r["spam"] and r["information"] == pytest.approx(alone["information"]) and r["normalised"] == pytest.approx(alone["normalised"])
         else:
             assert not r["spam"]
+
+
+def test_mix_query_is_as_large_as_the_documents_let_it_be(spark, tmp_path):
+    docs = [(i, "a", "some words here " * 5) for i in range(400)] + [(1000 + i, "b", "other words " * 4) for i in range(60)] + [(2000, "c", "third")]
+    spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 1)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    uses = {r["source"]: r["count"] for r in queries.p9_mix(spark, str(tmp_path)).groupBy("source").count().collect()}
+    assert uses["b"] == 120 and uses["c"] == 1 and uses["a"] > 300
+    assert queries.p9_exact(spark, str(tmp_path)).count() < 5
