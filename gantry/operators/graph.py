@@ -7,6 +7,7 @@ cost one round. Hubs are joined through salted lookups or pre-aggregated, never
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,8 +59,8 @@ def pagerank(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return state.select("scope", "node", "rank")
 
 
-def reach(seeds: DataFrame, edges: DataFrame, depth: int, backward: bool = False) -> DataFrame:
-    """scope, seed, node, hops: what each seed reaches within `depth` hops, at its least distance (the seed at 0).
+def reach(seeds: DataFrame, edges: DataFrame, depth: int | None, backward: bool = False) -> DataFrame:
+    """scope, seed, node, hops: what each seed reaches within `depth` hops (None: any), at its least distance (the seed at 0).
 
     A wave only expands nodes that its seed meets for the first time, so cycles end.
     """
@@ -67,10 +68,12 @@ def reach(seeds: DataFrame, edges: DataFrame, depth: int, backward: bool = False
     a, b = ("dst", "src") if backward else ("src", "dst")
     step = scratch.write(edges.filter(F.col("src") != F.col("dst")).select("scope", F.col(a).alias("node"), F.col(b).alias("next")).distinct())
     waves = [scratch.write(seeds.select("scope", "seed", "node").distinct().withColumn("hops", F.lit(0)))]
-    for hop in range(1, depth + 1):
+    for hop in count(1) if depth is None else range(1, depth + 1):
         met = waves[-1].join(step, ["scope", "node"]).select("scope", "seed", F.col("next").alias("node")).distinct()
         seen = reduce(DataFrame.unionByName, waves).select("scope", "seed", "node")
         waves.append(scratch.write(met.join(seen, ["scope", "seed", "node"], "left_anti").withColumn("hops", F.lit(hop))))
+        if depth is None and not waves[-1].limit(1).count():
+            break
     return reduce(DataFrame.unionByName, waves)
 
 
@@ -116,6 +119,31 @@ def short_cycles(edges: DataFrame) -> DataFrame:
     return two.unionByName(three).select("scope", F.array_join("cycle", " > ").alias("cycle"), F.size("cycle").alias("length"))
 
 
+def shortest_cycles(edges: DataFrame, most: int = 50) -> DataFrame:
+    """scope, cycle, length: the `most` shortest elementary cycles of each scope, of any length, each from its least node.
+
+    Paths grow by a node a round within their strongly connected component, through nodes greater
+    than their first; a scope is done when it has `most` cycles or no path is left.
+    """
+    scratch = Scratch(edges.sparkSession, "cycles")
+    member = strongly_connected(edges)
+    e = edges.filter("src <> dst").select("scope", "src", "dst").distinct()
+    e = e.join(member.withColumnRenamed("node", "src"), ["scope", "src"]).join(member.withColumnRenamed("node", "dst"), ["scope", "dst", "component"])
+    e = scratch.write(e.select("scope", "src", "dst"))
+    paths = scratch.write(e.filter("src < dst").select("scope", F.col("src").alias("first"), F.col("dst").alias("src"), F.array("src", "dst").alias("path")))
+    found = []
+    while paths.limit(1).count():
+        found.append(scratch.write(paths.join(e.withColumnRenamed("dst", "first"), ["scope", "src", "first"]).select("scope", F.col("path").alias("cycle"))))
+        done = reduce(DataFrame.unionByName, found).groupBy("scope").count().filter(F.col("count") >= most)
+        grown = paths.join(done, "scope", "left_anti").join(e, ["scope", "src"]).filter((F.col("dst") > F.col("first")) & ~F.array_contains("path", F.col("dst")))
+        paths = scratch.write(grown.select("scope", "first", F.col("dst").alias("src"), F.concat("path", F.array("dst")).alias("path")))
+    if not found:
+        return e.limit(0).select("scope", F.col("src").alias("cycle"), F.lit(0).alias("length"))
+    every = reduce(DataFrame.unionByName, found).withColumn("length", F.size("cycle"))
+    order = Window.partitionBy("scope").orderBy("length", "cycle")
+    return every.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most).select("scope", F.array_join("cycle", " > ").alias("cycle"), "length")
+
+
 def strongly_connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """scope, node, component (its least node), of the components of two nodes or more.
 
@@ -127,10 +155,10 @@ def strongly_connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     found: list[DataFrame] = []
     while True:
         while True:
-            count = live.count()
-            if count in (n, 0):
+            left = live.count()
+            if left in (n, 0):
                 break
-            n = count
+            n = left
             has_out, has_in = live.select("scope", F.col("src").alias("dst")).distinct(), live.select("scope", F.col("dst").alias("src")).distinct()
             live = scratch.write(live.join(has_out, ["scope", "dst"], "left_semi").join(has_in, ["scope", "src"], "left_semi"))
         if not live.count():
@@ -206,8 +234,8 @@ def conformance(edges: DataFrame, rules: list[tuple[str, str, str]]) -> DataFram
     return edges.select("scope", "src", "dst", F.explode(F.array_compact(F.array(*hits))).alias("rule")).distinct()
 
 
-def propagation_cost(edges: DataFrame, depth: int) -> DataFrame:
-    """Per scope: nodes and the share of ordered pairs that are linked by a walk of at most `depth` hops."""
+def propagation_cost(edges: DataFrame, depth: int | None) -> DataFrame:
+    """Per scope: nodes and the share of ordered pairs that are linked by a walk of at most `depth` hops (None: any)."""
     nodes = nodes_of(edges)
     pairs = reach(nodes.select("scope", F.col("node").alias("seed"), "node"), edges, depth).filter("hops > 0").groupBy("scope").agg(F.count(F.lit(1)).alias("pairs"))
     sizes = nodes.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))

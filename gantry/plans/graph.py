@@ -98,6 +98,22 @@ def propagation_cost(spark, folder):
     return G.propagation_cost(_imports(spark, folder), 3)
 
 
+def propagation_closure(spark, folder):
+    """The propagation cost over walks of any length."""
+    return G.propagation_cost(_imports(spark, folder), None)
+
+
+def shortest_paths(spark, folder):
+    """Shortest distances of any length from each entry point."""
+    seeds = _nodes(spark, folder, "file").filter("is_entry_point").select("scope", F.col("node").alias("seed"), "node")
+    return G.reach(seeds, _imports(spark, folder), None).filter("hops > 0")
+
+
+def shortest_cycles(spark, folder):
+    """The 50 shortest import cycles of each repository, of any length."""
+    return G.shortest_cycles(_imports(spark, folder))
+
+
 def betweenness(spark, folder):
     return G.betweenness(_imports(spark, folder))
 
@@ -128,7 +144,7 @@ def decision_currency(spark, folder):
     return met.groupBy("decision").agg(F.countDistinct("sha").alias("later_commits"))
 
 
-QUERIES = {f.__name__: f for f in (betweenness, system_graph, breaking_changes, decision_currency, degrees, pagerank, label_communities, folder_cohesion, super_graph, short_cycles, scc, blast_radius, tests_reaching, path_lengths, execution_flows, entry_scores, unreferenced_files, conformance, propagation_cost)}
+QUERIES = {f.__name__: f for f in (betweenness, system_graph, breaking_changes, decision_currency, degrees, pagerank, label_communities, folder_cohesion, super_graph, short_cycles, scc, blast_radius, tests_reaching, path_lengths, execution_flows, entry_scores, unreferenced_files, conformance, propagation_cost, propagation_closure, shortest_paths, shortest_cycles)}
 
 _E = "edges AS (SELECT DISTINCT repository_id AS scope, source_node_id AS src, target_node_id AS dst FROM graph_edges WHERE target_node_id IS NOT NULL AND edge_type = 'imports'), nodes AS (SELECT scope, src AS node FROM edges UNION SELECT scope, dst FROM edges)"
 _N = "n AS (SELECT repository_id AS scope, node_id AS node, max(visibility) AS visibility, max(name) AS name, bool_or(is_entry_point) AS is_entry_point, bool_or(is_test) AS is_test FROM graph_nodes WHERE node_type = '{0}' GROUP BY ALL)"

@@ -72,6 +72,17 @@ def test_graph_operators(spark):
     assert G.strongly_connected(empty).count() == G.short_cycles(empty).count() == G.reach(seeds.limit(0), empty, 2).count() == 0
 
 
+def test_graphs_of_any_diameter(spark):
+    ring = "abcdefg"
+    e = spark.createDataFrame([("s", a, ring[(i + 1) % 7]) for i, a in enumerate(ring)] + [("s", "d", "a"), ("s", "g", "h")], "scope string, src string, dst string")
+    seeds = spark.createDataFrame([("s", "a", "a")], "scope string, seed string, node string")
+    assert {r["node"]: r["hops"] for r in G.reach(seeds, e, None).collect()} == {n: i for i, n in enumerate("abcdefgh")}
+    assert G.propagation_cost(e, None).first()["cost"] == pytest.approx(7 * 7 / 56)
+    assert {(r["cycle"], r["length"]) for r in G.shortest_cycles(e).collect()} == {("a > b > c > d", 4), ("a > b > c > d > e > f > g", 7)}
+    assert [r["length"] for r in G.shortest_cycles(e, 1).collect()] == [4]
+    assert G.shortest_cycles(e.limit(0)).count() == 0
+
+
 def test_betweenness_equals_brute_force(spark):
     import itertools
     from collections import deque
