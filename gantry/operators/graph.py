@@ -90,6 +90,30 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return state
 
 
+def settled_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
+    """scope, node, community: communities() carried on until no node has a commoner label among its neighbours.
+
+    From then on a node moves only to a label that strictly more of its neighbours bear, and no two
+    neighbours move in one round: each move adds linked pairs of one label, so no label oscillates.
+    """
+    scratch = Scratch(edges.sparkSession, "settled")
+    both = edges.select("scope", "src", "dst").unionByName(edges.select("scope", F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
+    both = scratch.write(both)
+    state, last = scratch.keep(communities(edges, rounds))
+    while True:
+        votes = lookup(both, state.withColumnRenamed("node", "src"), ["scope", "src"], "inner").groupBy("scope", F.col("dst").alias("node"), "community").agg(F.count(F.lit(1)).alias("votes"))
+        seen = votes.join(state.withColumnRenamed("community", "own"), ["scope", "node"])
+        best = seen.groupBy("scope", "node").agg(F.min_by("community", F.struct(-F.col("votes"), "community")).alias("best"), F.max("votes").alias("most"), F.coalesce(F.max(F.when(F.col("community") == F.col("own"), F.col("votes"))), F.lit(0)).alias("kept"))
+        rank = F.struct(F.xxhash64("scope", "node").alias("h"), "node").alias("rank")
+        wish = scratch.write(best.filter("most > kept").select("scope", "node", "best", rank))
+        if not wish.limit(1).count():
+            return state
+        ahead = both.join(wish.select("scope", F.col("node").alias("src"), F.col("rank").alias("other")), ["scope", "src"]).groupBy("scope", F.col("dst").alias("node")).agg(F.min("other").alias("other"))
+        moves = wish.join(ahead, ["scope", "node"], "left").filter(F.col("other").isNull() | (F.col("rank") < F.col("other"))).select("scope", "node", "best")
+        old, (state, last) = last, scratch.keep(state.join(moves, ["scope", "node"], "left").select("scope", "node", F.coalesce("best", "community").alias("community")))
+        scratch.drop(old)
+
+
 def super_graph(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """Edges between groups(scope, node, group) with their number, and within a group as its own edge."""
     a = lookup(edges.select("scope", "src", "dst").distinct(), groups.select("scope", F.col("node").alias("src"), F.col("group").alias("from_group")), ["scope", "src"], "inner")

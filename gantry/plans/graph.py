@@ -42,6 +42,15 @@ def label_communities(spark, folder):
     return G.communities(_imports(spark, folder), 3)
 
 
+def pagerank_20(spark, folder):
+    """PageRank after the 20 rounds of the survey."""
+    return G.pagerank(_imports(spark, folder)).withColumn("rank", F.round("rank", 9))
+
+
+def settled_communities(spark, folder):
+    return G.settled_communities(_imports(spark, folder))
+
+
 def folder_cohesion(spark, folder):
     return G.cohesion(_imports(spark, folder), _groups(spark, folder))
 
@@ -82,6 +91,12 @@ def execution_flows(spark, folder):
     return G.execution_flows(entries, _calls(spark, folder), 4)
 
 
+def execution_flows_8(spark, folder):
+    """The same walks of up to the eight steps of the survey."""
+    entries = G.degrees(_calls(spark, folder)).filter("in_degree = 0 and out_degree > 0")
+    return G.execution_flows(entries, _calls(spark, folder))
+
+
 def entry_scores(spark, folder):
     return G.entry_scores(_nodes(spark, folder, "symbol"), G.degrees(_calls(spark, folder))).select("scope", "node", "entry_score")
 
@@ -144,7 +159,7 @@ def decision_currency(spark, folder):
     return met.groupBy("decision").agg(F.countDistinct("sha").alias("later_commits"))
 
 
-QUERIES = {f.__name__: f for f in (betweenness, system_graph, breaking_changes, decision_currency, degrees, pagerank, label_communities, folder_cohesion, super_graph, short_cycles, scc, blast_radius, tests_reaching, path_lengths, execution_flows, entry_scores, unreferenced_files, conformance, propagation_cost, propagation_closure, shortest_paths, shortest_cycles)}
+QUERIES = {f.__name__: f for f in (betweenness, system_graph, breaking_changes, decision_currency, degrees, pagerank, label_communities, folder_cohesion, super_graph, short_cycles, scc, blast_radius, tests_reaching, path_lengths, execution_flows, entry_scores, unreferenced_files, conformance, propagation_cost, propagation_closure, shortest_paths, shortest_cycles, pagerank_20, settled_communities, execution_flows_8)}
 
 _E = "edges AS (SELECT DISTINCT repository_id AS scope, source_node_id AS src, target_node_id AS dst FROM graph_edges WHERE target_node_id IS NOT NULL AND edge_type = 'imports'), nodes AS (SELECT scope, src AS node FROM edges UNION SELECT scope, dst FROM edges)"
 _N = "n AS (SELECT repository_id AS scope, node_id AS node, max(visibility) AS visibility, max(name) AS name, bool_or(is_entry_point) AS is_entry_point, bool_or(is_test) AS is_test FROM graph_nodes WHERE node_type = '{0}' GROUP BY ALL)"

@@ -8,6 +8,7 @@ from gantry.operators import health as K
 from gantry.operators import history as H
 from gantry.operators import intervals as I
 from gantry.operators import text as T
+from gantry.plans import graph as P
 from gantry.sources import readers as R
 from gantry.streaming import twins as S
 
@@ -83,6 +84,27 @@ def test_graphs_of_any_diameter(spark):
     assert G.shortest_cycles(e.limit(0)).count() == 0
 
 
+def test_rounds_of_the_survey(spark, tmp_path):
+    chain = [(f"c{i}", "r", f"n{i:02}", f"n{i + 1:02}", kind, 1.0, None) for i in range(12) for kind in ("imports", "calls")]
+    star = [(f"s{i}", "r", f"leaf{i}", "hub", "imports", 1.0, None) for i in range(3)]
+    schema = "id string, repository_id string, source_node_id string, target_node_id string, edge_type string, confidence double, resolution_origin string"
+    spark.createDataFrame(chain + star, schema).write.parquet(str(tmp_path / "graph_edges.parquet"))
+    assert [r["length"] for r in P.execution_flows_8(spark, str(tmp_path)).collect()] == [9]
+    edges = [(a[2], a[3]) for a in chain if a[4] == "imports"] + [(a[2], a[3]) for a in star]
+    nodes = sorted({n for e in edges for n in e})
+    out = {n: [b for a, b in edges if a == n] for n in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(20):
+        lost = sum(rank[n] for n in nodes if not out[n]) / len(nodes)
+        rank = {n: 0.15 / len(nodes) + 0.85 * (lost + sum(rank[a] / len(out[a]) for a in nodes if n in out[a])) for n in nodes}
+    assert {r["node"]: r["rank"] for r in P.pagerank_20(spark, str(tmp_path)).collect()} == pytest.approx(rank, abs=1e-8)
+    label = {r["node"]: r["community"] for r in P.settled_communities(spark, str(tmp_path)).collect()}
+    near = {n: [b if a == n else a for a, b in edges if n in (a, b)] for n in nodes}
+    for n in nodes:
+        votes = [label[m] for m in near[n]]
+        assert votes.count(label[n]) == max(map(votes.count, votes)), n
+
+
 def test_betweenness_equals_brute_force(spark):
     import itertools
     from collections import deque
