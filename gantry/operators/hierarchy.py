@@ -91,7 +91,18 @@ def _jump(table: DataFrame, scratch: Scratch, to: str, combine: dict, rounds: in
     return table
 
 
-def resolve_hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
+def descendants(links: DataFrame) -> DataFrame:
+    """scope, node, descendant: every node that lies below another, of links(scope, child, parent).
+
+    A cycle's nodes are descendants of one another, and what hangs below one is a descendant of all
+    of them; no node counts as its own.
+    """
+    path = F.array_distinct("full_path")
+    pairs = resolve_hierarchy(links, True, True).select("scope", F.explode(path).alias("node"), F.col("node").alias("descendant"))
+    return pairs.filter("node <> descendant")
+
+
+def resolve_hierarchy(links: DataFrame, with_paths: bool = False, with_cycles: bool = False) -> DataFrame:
     """One row per node of links(scope, child, parent): scope, node, root_id, depth[, subtree_size, path].
 
     root_id is the topmost ancestor (the node itself for a root) and depth the number of links to it;
@@ -99,6 +110,9 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
     node and all its descendants (null where the node's tree ends in a cycle). path lists the ids
     from the root to the node, so the descendants of x are the nodes whose path contains x.
 
+    with_cycles adds full_path, for every node: where its tree ends in a cycle, that begins with the
+    cycle's nodes, of which some follow again, so it has each ancestor once or more.
+
     Null scopes and children are no links; a null parent states a root. Repeated links count once.
     A child with several parents keeps the greatest one. Empty input gives no rows.
     """
@@ -138,9 +152,9 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
     cyclic = F.col("cyclic")
     out = found.select(
         "scope", "node", F.when(cyclic, "").otherwise(F.col("root")).alias("root_id"), F.when(cyclic, -1).otherwise(F.col("depth")).cast("int").alias("depth"),
-        *([F.when(~cyclic, F.col("path")).alias("path")] if with_paths else []),
+        *([F.when(~cyclic, F.col("path")).alias("path")] if with_paths else []), *([F.col("path").alias("full_path")] if with_cycles else []),
     )
-    if not with_paths:
+    if not with_paths or with_cycles:
         return out
     spliced = F.col("act") == "splice"
     sizes = hung.select("scope", "node", F.when(spliced, F.col("child")).alias("next"), (F.col("acc") + F.when(spliced, F.col("between")).otherwise(0)).alias("subtree_size"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.operators.hierarchy import resolve_hierarchy
+from gantry.operators.hierarchy import descendants, resolve_hierarchy
 from gantry.operators.orphans import orphan_counts, orphan_references
 from gantry.sources.tables import table
 
@@ -55,9 +55,13 @@ judged AS (
 """
 
 
-def _hierarchy(spark: SparkSession, folder: str, with_paths: bool = False) -> DataFrame:
+def _extends(spark: SparkSession, folder: str) -> DataFrame:
     links = table(spark, folder, "resolved_heritage").filter("edge_type = 'extends'")
-    return resolve_hierarchy(links.select(F.col("repository_id").alias("scope"), F.col("child_id").alias("child"), F.col("parent_id").alias("parent")), with_paths)
+    return links.select(F.col("repository_id").alias("scope"), F.col("child_id").alias("child"), F.col("parent_id").alias("parent"))
+
+
+def _hierarchy(spark: SparkSession, folder: str, with_paths: bool = False) -> DataFrame:
+    return resolve_hierarchy(_extends(spark, folder), with_paths)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,6 +76,11 @@ def p5_paths(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """All descendants of every type, those on and below cycles included."""
+    return descendants(_extends(spark, folder)).select(F.col("scope").alias("repository_id"), F.col("node").alias("node_id"), F.col("descendant").alias("descendant_id"))
+
+
 _P5 = """
 WITH RECURSIVE links AS (SELECT repository_id, child_id, max(parent_id) AS parent_id FROM resolved_heritage WHERE edge_type = 'extends' GROUP BY ALL),
 ids AS (SELECT repository_id, child_id AS node_id FROM links UNION SELECT repository_id, parent_id FROM links WHERE parent_id IS NOT NULL),
@@ -88,7 +97,7 @@ below AS (SELECT repository_id, anc AS node_id, count(*) - 1 AS descendants FROM
 SELECT i.repository_id, i.node_id, coalesce(d.root_id, '') AS root_id, coalesce(d.depth, -1) AS depth, d.path, b.descendants
 FROM ids i LEFT JOIN down d USING (repository_id, node_id) LEFT JOIN below b USING (repository_id, node_id)"""
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p5_paths": p5_paths}
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants}
 
 SQL = {
     "p3_found": _P3 + "SELECT edge_id, side, reason FROM judged WHERE reason IS NOT NULL",

@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from gantry.operators.hierarchy import resolve_hierarchy
+from gantry.operators.hierarchy import descendants, resolve_hierarchy
 from gantry.operators.orphans import BloomFilter, orphan_counts, orphan_references
 
 REFS, PARENTS, GONE = "ref_id string, side string, scope string, kind string, key string, at timestamp", "scope string, kind string, key string, born timestamp", "scope string, kind string, key string, removed_at timestamp"
@@ -76,5 +76,21 @@ def test_hierarchy_equals_brute_force(spark, links):
     assert slim == {k: v[:2] for k, v in want.items()}
 
 
+@pytest.mark.parametrize("links", list(_shapes())[2:], ids=["cycles", "random"])
+def test_descendants_equal_brute_force(spark, links):
+    links = links + [("u", f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [("u", "x0", "r3")] + [("u", f"x{i + 1}", f"x{i}") for i in range(6)] + [("u", "y", "x2")]
+    parent = {(s, c): p for s, c, p in sorted(links, key=str) if None not in (s, c, p)}
+    parent = {k: max(p for s, c, p in links if (s, c) == k and p is not None) for k in parent}
+    want = set()
+    for s, n in parent:
+        at, seen = parent.get((s, n)), set()
+        while at is not None and at not in seen:
+            seen.add(at)
+            at = parent.get((s, at))
+        want |= {(s, a, n) for a in seen if a != n}
+    got = [tuple(r) for r in descendants(spark.createDataFrame(links, "scope string, child string, parent string")).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_empty_hierarchy(spark):
     assert resolve_hierarchy(spark.createDataFrame([], "scope string, child string, parent string")).count() == 0
