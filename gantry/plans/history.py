@@ -68,11 +68,16 @@ def _people(spark, folder):
     key = F.col("c_custkey")
     name = F.concat(F.lit("dev"), (key % 400).cast("string"))
     email = F.when(key % 3 == 0, F.concat(key.cast("string"), F.lit("+"), name, F.lit("@users.noreply.example"))).otherwise(F.concat(name, F.lit("."), (key % 5).cast("string"), F.lit("@mail.example")))
-    return table(spark, folder, "customer").filter(key % 4 < 2).select(name.alias("name"), email.alias("email"))
+    return table(spark, folder, "customer").select(key.alias("key"), name.alias("name"), email.alias("email"))
 
 
 def identity_fold(spark, folder):
-    return H.fold_identities(_people(spark, folder))
+    """Half of the people, as in its SQL; identity_fold_all has all of them."""
+    return H.fold_identities(_people(spark, folder).filter("key % 4 < 2").drop("key"))
+
+
+def identity_fold_all(spark, folder):
+    return H.fold_identities(_people(spark, folder).drop("key"))
 
 
 def _parts(spark, folder):
@@ -130,7 +135,7 @@ def hidden_coupling(spark, folder):
     return H.hidden_coupling(pairs, per, linked, least=0.01)
 
 
-QUERIES = {f.__name__: f for f in (file_activity, hotspots, ownership, active_contributors, identity_fold, commit_features, author_experience, change_risk, risk_percentile, fix_history, co_change_pairs, change_entropy, co_change_scatter, hidden_coupling)}
+QUERIES = {f.__name__: f for f in (file_activity, hotspots, ownership, active_contributors, identity_fold, identity_fold_all, commit_features, author_experience, change_risk, risk_percentile, fix_history, co_change_pairs, change_entropy, co_change_scatter, hidden_coupling)}
 
 SQL = {
     "file_activity": _ACTIVITY + " SELECT * FROM activity",

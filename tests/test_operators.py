@@ -9,6 +9,7 @@ from gantry.operators import history as H
 from gantry.operators import intervals as I
 from gantry.operators import text as T
 from gantry.plans import graph as P
+from gantry.plans import history as HP
 from gantry.sources import readers as R
 from gantry.streaming import twins as S
 
@@ -43,6 +44,12 @@ def test_identities_fold_only_onto_a_single_address(spark):
     assert got["x", "1+x@users.noreply.h"] == "x@m" and got["y", "2+y@users.noreply.h"] == "2+y@users.noreply.h" and got["z", None] is None
 
 
+def test_all_people_are_folded(spark, tmp_path):
+    spark.range(1, 801).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    want = {(f"dev{k % 400}", f"{k}+dev{k % 400}@users.noreply.example" if k % 3 == 0 else f"dev{k % 400}.{k % 5}@mail.example") for k in range(1, 801)}
+    assert {(r["name"], r["email"]) for r in HP.identity_fold_all(spark, str(tmp_path)).collect()} == want
+
+
 def test_health_caps_and_floor(spark):
     findings = [("a", "churn_risk", "critical"), ("a", "prior_defect", "critical"), ("a", "ownership_risk", "critical"), ("b", "error_handling", "low")] + [("c", f, "critical") for f in K.CATEGORIES]
     got = {r["path"]: r["score"] for r in K.health_scores(spark.createDataFrame(findings, "path string, finding string, severity string"), spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "path string")).collect()}
