@@ -102,11 +102,16 @@ def stream_answered(spark, folder):
 
 
 def import_scan(spark, folder):
+    """The imports of Java and Python files, as in its SQL; import_scan_all has all five languages."""
     files = table(spark, folder, "source_text").select("repository_id", "node_id", "text").distinct()
     return R.imports(files.filter("node_id like '%.java' or node_id like '%.py'"))
 
 
-QUERIES = {f.__name__: f for f in (fix_attribution, symbol_lines, asof_latest, missing_tests, cost_rollup, savings_rollup, session_fold, rate_limit_windows, correction_pairs, question_demand, result_budget, stream_tumbling, stream_sliding, stream_deduplicated, stream_answered, import_scan)}
+def import_scan_all(spark, folder):
+    return R.imports(table(spark, folder, "source_text").select("repository_id", "node_id", "text").distinct()).distinct()
+
+
+QUERIES = {f.__name__: f for f in (fix_attribution, symbol_lines, asof_latest, missing_tests, cost_rollup, savings_rollup, session_fold, rate_limit_windows, correction_pairs, question_demand, result_budget, stream_tumbling, stream_sliding, stream_deduplicated, stream_answered, import_scan, import_scan_all)}
 
 _S = "s AS (SELECT DISTINCT repository_id || ':' || file_path AS file, symbol_id AS span_id, start_line AS lo, end_line AS hi FROM wiki_symbols WHERE start_line IS NOT NULL AND end_line >= start_line)"
 _W = "(PARTITION BY user_id ORDER BY ts, event_id)"

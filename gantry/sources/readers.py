@@ -45,8 +45,10 @@ def commit_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return commits, body.select("sha", name.alias("path"), number(parts[0]).alias("added"), number(parts[1]).alias("deleted"))
 
 
-#: How the five languages name what they import.
-IMPORTS = {"py": r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", "ts": r"(?m)^\s*import\b[^'\"\n]*['\"]([^'\"]+)['\"]()", "js": r"(?m)^\s*import\b[^'\"\n]*['\"]([^'\"]+)['\"]()", "java": r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)()", "go": r"(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w./-]+)\"\s*$()"}
+#: How the five languages name what they import; the endings that JavaScript and TypeScript have besides.
+_MODULE = r"""(?m)^\s*(?:(?:import|export)\b[^'"`;=()]*?\bfrom\s*|import\s*)['"]([^'"]+)['"]|\b(?:require|import)\(\s*['"]([^'"]+)['"]\s*\)"""
+_GO = r"""(?m)^\s*(?:import\s*\(?\s*)?(?!return\b)(?:[\w.]+\s+)?["`]([\w./~-]+)["`]\s*;?\s*\)?\s*(?://.*)?$()"""
+IMPORTS = {"py": r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", "java": r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)()", "go": _GO} | dict.fromkeys(["ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs"], _MODULE)
 
 
 def imports(files: DataFrame) -> DataFrame:

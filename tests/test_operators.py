@@ -10,6 +10,7 @@ from gantry.operators import intervals as I
 from gantry.operators import text as T
 from gantry.plans import graph as P
 from gantry.plans import history as HP
+from gantry.plans import logs as L
 from gantry.sources import readers as R
 from gantry.streaming import twins as S
 
@@ -50,6 +51,17 @@ def test_all_people_are_folded(spark, tmp_path):
     assert {(r["name"], r["email"]) for r in HP.identity_fold_all(spark, str(tmp_path)).collect()} == want
 
 
+def test_imports_of_all_languages(spark, tmp_path):
+    module = "import a from 'x'\nimport {\n  b,\n  c,\n} from \"./y\";\nimport './z.css'\nexport * from 'w'\nconst q = require('v')\nconst s = 'import'\n"
+    texts = {f"m.{e}": (module, {"x", "./y", "./z.css", "w", "v"}) for e in ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs")}
+    texts["m.go"] = ('package m\n\nimport "fmt"\nimport (\n\t_ "embed"\n\tx "a.b/c-d/x" // why\n\t"os"\n)\n\nfunc f() string {\n\treturn "no"\n}\n', {"fmt", "embed", "a.b/c-d/x", "os"})
+    texts["m.py"] = ("import a.b\nfrom c import d\n", {"a.b", "c"})
+    texts["M.java"] = ("import static a.B.c;\nimport d.E;\n", {"a.B.c", "d.E"})
+    spark.createDataFrame([("r", n, t) for n, (t, _) in texts.items()], "repository_id string, node_id string, text string").write.parquet(str(tmp_path / "source_text.parquet"))
+    got = sorted((r["node_id"], r["module"]) for r in L.import_scan_all(spark, str(tmp_path)).collect())
+    assert got == sorted((n, m) for n, (_, ms) in texts.items() for m in ms)
+
+
 def test_health_caps_and_floor(spark):
     findings = [("a", "churn_risk", "critical"), ("a", "prior_defect", "critical"), ("a", "ownership_risk", "critical"), ("b", "error_handling", "low")] + [("c", f, "critical") for f in K.CATEGORIES]
     got = {r["path"]: r["score"] for r in K.health_scores(spark.createDataFrame(findings, "path string, finding string, severity string"), spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "path string")).collect()}
