@@ -362,7 +362,7 @@ ASSIGN <- "=" / "+=" / "-=" / "*=" / "/=" / "%=" / "&=" / "|=" / "^=" / "<<=" /
 BINOP <- "||" / "&&" / "|" / "^" / "&" / "==" / "!=" / "<=" / "<<" / "<" / "+" / "-" / "*" / "/" / "%"
 '''
 _JAVA_LEX = re.compile(
-    r"(?:\s+|//[^\n]*|" + _COMMENTN + r")*+([^\W\d][\w$]*|\$[\w$]*|(?:0[xX][0-9a-fA-F_.]*(?:[pP][+-]?\d+)?|\d[\d_]*\.?[\d_]*(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)\w*"
+    r"(?:[ \t\f\v\r]+|" + _COMMENT1 + r")*+((?:\n|" + _COMMENTN + r")(?:\s|//[^\n]*|" + _COMMENTN + r")*|[^\W\d][\w$]*|\$[\w$]*|(?:0[xX][0-9a-fA-F_.]*(?:[pP][+-]?\d+)?|\d[\d_]*\.?[\d_]*(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)\w*"
     r"|\"\"\"[ \t\f]*\n(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\.)'|/\*"
     r"|<<=|\.\.\.|->|::|\+\+|--|&&|\|\||==|!=|<=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|[^\s]|\Z)"
 )
@@ -396,8 +396,12 @@ class Language:
             return "s"
         return BAD
 
-    def encode(self, tokens: list[str]) -> tuple[str, str]:
-        return "".join(map(self.kinds.__getitem__, tokens)).replace("L", ""), ""
+    def raw(self, tokens: list[str]) -> str:
+        return "".join(map(self.kinds.__getitem__, tokens))
+
+    def encode(self, tokens: list[str], raw: str | None = None) -> tuple[str, str]:
+        """The parser's kinds and line-break marks of tokens; raw: their kinds as they come, if known."""
+        return (self.raw(tokens) if raw is None else raw).replace("L", ""), ""
 
     def source(self, text: str) -> str:
         """The text as it is lexed."""
@@ -509,8 +513,8 @@ class Python(Language):
     def source(self, text: str) -> str:
         return "\n" + text  # so that the first line's indentation is seen
 
-    def encode(self, tokens: list[str]) -> tuple[str, str]:
-        raw = "".join(map(self.kinds.__getitem__, tokens))
+    def encode(self, tokens: list[str], raw: str | None = None) -> tuple[str, str]:
+        raw = self.raw(tokens) if raw is None else raw
         lines = [t for t in tokens if t and t[0] in "\n#" and "\n" in t]
         out, stack, depth, indent = [], [0], 0, 0
         brackets, opens, nets = self.brackets, self.opens, self.nets
@@ -573,8 +577,8 @@ class Script(Language):
                     return False
         return True
 
-    def encode(self, tokens: list[str]) -> tuple[str, str]:
-        raw = "".join(map(self.kinds.__getitem__, tokens))
+    def encode(self, tokens: list[str], raw: str | None = None) -> tuple[str, str]:
+        raw = self.raw(tokens) if raw is None else raw
         if "L" not in raw:
             return raw, "0" * len(raw)
         parts = raw.split("L")
@@ -583,8 +587,8 @@ class Script(Language):
 
 
 class Go(Language):
-    def encode(self, tokens: list[str]) -> tuple[str, str]:
-        raw = "".join(map(self.kinds.__getitem__, tokens)) + "L"
+    def encode(self, tokens: list[str], raw: str | None = None) -> tuple[str, str]:
+        raw = (self.raw(tokens) if raw is None else raw) + "L"
         return self.breaks.sub(self.grammar.kinds[";"], raw).replace("L", ""), ""
 
 

@@ -38,10 +38,15 @@ class Kinds(dict):
         return kind
 
 
-class Memo(dict):
-    """Results by (rule, position) of one parse; breaks: '1' for each token that a line break precedes."""
+class Memo:
+    """Results of one parse by position, a table for each memoised rule; breaks: '1' for each token that a line break precedes."""
 
-    __slots__ = ("breaks", "far")
+    def __getattr__(self, name: str) -> dict[int, int]:
+        if not name.startswith("t_"):
+            raise AttributeError(name)
+        table: dict[int, int] = {}
+        setattr(self, name, table)
+        return table
 
 
 class Grammar:
@@ -258,14 +263,14 @@ class Grammar:
             lines.append(f"def r_{rule}(k, i, m):")
             pad = "    "
             if rule in self.segments and not trace:
-                lines += [f"{pad}g = _seg[{rule!r}].match(k, i)", f"{pad}if g:", f"{pad}    e, t = g.end(), g[0]", f"{pad}    if '1' in m.breaks[i + 1:e]: e = -2", f"{pad}    elif t in _kept[{rule!r}]: return e", f"{pad}else: e = -2"]
+                lines += [f"{pad}g = _seg[{rule!r}].match(k, i)", f"{pad}if g:", f"{pad}    e, u = g.end(), g[0]", f"{pad}    if '1' in m.breaks[i + 1:e]: e = -2", f"{pad}    elif u in _kept[{rule!r}]: return e", f"{pad}else: e = -2"]
             if rule in self.memo:
-                lines += [f"{pad}z = ({rule!r}, i)", f"{pad}if z in m: return m[z]"]
+                lines += [f"{pad}t, z = m.t_{rule}, i", f"{pad}if i in t: return t[i]"]
             emit(node, pad)
             if rule in self.segments and not trace:
-                lines += [f"{pad}if i == e:", f"{pad}    if len(_kept[{rule!r}]) > {_KEPT}: _kept[{rule!r}].clear()", f"{pad}    _kept[{rule!r}].add(t)"]
+                lines += [f"{pad}if i == e:", f"{pad}    if len(_kept[{rule!r}]) > {_KEPT}: _kept[{rule!r}].clear()", f"{pad}    _kept[{rule!r}].add(u)"]
             if rule in self.memo:
-                lines.append(f"{pad}m[z] = i")
+                lines.append(f"{pad}t[z] = i")
             lines.append(f"{pad}return i")
         for j, match in enumerate(space["_re"]):
             space[f"_re{j}"] = match
@@ -273,9 +278,9 @@ class Grammar:
         return space
 
     # -- parsing ---------------------------------------------------------------------------------
-    def accepts(self, kinds: str, breaks: str = "", start: str = "start") -> bool:
-        """Whether the rule, which must close with END, consumes all kinds."""
-        memo = Memo()
+    def accepts(self, kinds: str, breaks: str = "", start: str = "start", memo: Memo | None = None) -> bool:
+        """Whether the rule, which must close with END, consumes all kinds; memo takes the results of the rules."""
+        memo = Memo() if memo is None else memo
         memo.breaks = breaks + "1"
         return BAD not in kinds and self.fast["r_" + start](kinds + END, 0, memo) == len(kinds) + 1
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gantry.llm.conversations import channel_threads, rebuild_conversations
-from gantry.llm.docs import documented_functions
+from gantry.llm.docs import code_pairs, documented_functions
 from gantry.llm.mixing import mix_sources
 from gantry.llm.packing import pack_documents, packing_report
 from gantry.llm.parsing import parse_files, parse_rates
@@ -17,12 +17,12 @@ from gantry.sources.tables import table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return documented_functions(table(spark, folder, "source_text")).select("repository_id", "node_id", "start_line")
+    return documented_functions(table(spark, folder, "source_text"), signatures=False).select("repository_id", "node_id", "start_line")
 
 
 def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Code-description pairs: name, signature, line range and documentation of each function."""
-    return documented_functions(table(spark, folder, "source_text"))
+    """Code-description pairs: symbol, signature, lines, code and documentation of each function."""
+    return code_pairs(table(spark, folder, "source_text"))
 
 
 def _marked(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from gantry.llm.docs import documented_functions, is_documented, structural_tokens
+from gantry.llm.docs import Scan, code_pairs, documented_functions, is_documented
 from gantry.llm.provenance import fingerprints, mark_files, marks
 
 FILES = "repository_id string, node_id string, text string, ingested_at timestamp"
@@ -83,12 +83,90 @@ def test_what_counts_as_documentation():
 
 
 def test_tokens_cover_brackets():
-    rows = structural_tokens(SCRIPT, "typescript")
-    depth = 0
-    for _, _, kind, _ in rows:
-        depth += (kind == "open") - (kind == "close")
-        assert depth >= 0
-    assert depth == 0
+    for text, lang in ((SCRIPT, "typescript"), (PYTHON, "python"), (GO, "go"), (JAVA, "java")):
+        depth = 0
+        for *_, kind, _ in Scan(text, lang).rows():
+            depth += (kind == "open") - (kind == "close")
+            assert depth >= 0
+        assert depth == 0
+
+
+NESTED_TS = '''/** Gives the newest row of a key. */
+function a(x: number): { y: number } {
+  return { y: x };
+}
+/** Adds what the caller gave to one. */
+export const g = (a: number) => a + 1
+function h(zzz: string) { return zzz }
+/** Spreads the load over lines. */
+const multi = async <T>(q: T[]) =>
+  q.map((x) => {
+    return { v: x };
+  }).filter(Boolean)
+class Box<T> extends Base {
+  /** Holds whatever came last. */
+  @dec({ a: 1 })
+  private async hold(v: T, o = { z: 1 }): Promise<{ ok: boolean }> {
+    const inner = { /** Tells the outer world so. */ tell(a) { return a } };
+    return { ok: true };
+  }
+  other() {}
+}
+/** Waits until the reader is done. */
+const one = x => x * 2;
+/** Collects all that came in. */
+foo(function () { return 1 });
+if (x) { y() }
+'''
+NESTED_PY = '''class A(B):
+    """Class text."""
+
+    @dec(1)
+    def m(self, a: dict[str, int] = {}) -> list[int]:
+        """Counts rows the cache lost."""
+        if a:
+            return [
+                1,
+            ]
+        def inner(x):
+            """Waits until the reader is done."""
+            return x \\
+                + 1
+
+        return inner
+
+
+def seven(a):
+    """Adds what the caller gave.
+
+    More text.
+    """
+    x = 1
+    return x
+'''
+NESTED_GO = 'package a\n\n// Load reads what was left.\nfunc (t *T[K]) Load(a int, f func(int) error) (map[string]int, error) {\n\tif a > 0 {\n\t\treturn nil, nil\n\t}\n\treturn nil, nil\n}\n'
+NESTED_JAVA = 'class A<T> {\n  /** Tells whether the owner may write. */\n  @Override public Map<String, List<int[]>> may(final int x, String... y) throws E {\n    if (x > 1) { return null; }\n    return new B() { };\n  }\n}\n'
+
+
+def test_code_pairs(spark):
+    """Ends, signatures and symbols: result types with braces, lone expressions, nested functions, receivers."""
+    rows = [("r", "a.ts", NESTED_TS, None), ("r", "a.py", NESTED_PY, None), ("r", "a.go", NESTED_GO, None), ("r", "A.java", NESTED_JAVA, None), ("r", "n.ts", None, None), ("r", "e.ts", "", None)]
+    frame = spark.createDataFrame(rows, FILES).withColumn("code", F.lit("clashing"))
+    got = {r["symbol"]: (r["first_line"], r["start_line"], r["end_line"], r["signature"]) for r in code_pairs(frame).collect()}
+    assert got == {
+        "A.may": (3, 3, 6, "public Map<String, List<int[]>> may(final int x, String... y) throws E"),
+        "T.Load": (4, 4, 9, "func (t *T[K]) Load(a int, f func(int) error) (map[string]int, error)"),
+        "A.m": (5, 5, 16, "def m(self, a: dict[str, int] = {}) -> list[int]"),
+        "m.inner": (11, 11, 14, "def inner(x)"),
+        "seven": (19, 19, 25, "def seven(a)"),
+        "one": (23, 23, 23, "const one = x =>"),
+        "a": (2, 2, 4, "function a(x: number): { y: number }"),
+        "g": (6, 6, 6, "export const g = (a: number) =>"),
+        "multi": (9, 9, 12, "const multi = async <T>(q: T[]) =>"),
+        "Box.hold": (16, 16, 19, "private async hold(v: T, o = { z: 1 }): Promise<{ ok: boolean }>"),
+    }
+    code = {r["name"]: r["code"] for r in code_pairs(frame).collect()}
+    assert code["g"] == "export const g = (a: number) => a + 1" and code["Load"].startswith("func (t") and code["Load"].endswith("\n}")
 
 
 def test_marks_and_decoys():
