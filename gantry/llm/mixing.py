@@ -1,4 +1,9 @@
-"""Problem 9: mixing sources to target weights, with capped repetition."""
+"""Problem 9: mixing sources to target weights, with capped repetition.
+
+Weights are tempered: the sources' token shares, raised to a falling exponent, times the target
+shares, raised to a rising one. The exponent is bisected to the repetition limit; the source that
+binds there stays at its limit, and the exponent of the others is bisected on, up to the targets.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +15,8 @@ from pyspark.sql import functions as F
 from gantry.llm.tokens import VOCABULARY, token_count
 from gantry.session import Scratch
 
-#: Blocks that an epoch of a source is permuted in.
-BLOCKS = 1024
+#: Documents of a block, in expectation: the last epoch of a source is spent block by block.
+BLOCK_ROWS = 100_000
 
 
 def temper(shares: dict[str, float], exponent: float) -> dict[str, float]:
@@ -35,14 +40,22 @@ def bisect(low: float, high: float, test, steps: int = 80) -> float:
     return low
 
 
+def blend(natural: dict[str, float], target: dict[str, float], exponent: float) -> dict[str, float]:
+    """Token shares to the power 1 - exponent times target shares to the power exponent, normalised."""
+    powers = {s: natural[s] ** (1 - exponent) * target[s] ** exponent for s in natural}
+    total = sum(powers.values())
+    return {s: x / total for s, x in powers.items()}
+
+
 def solve_weights(tokens: dict[str, int], targets: dict[str, float], repeats: dict[str, int], budget: float | None = None) -> tuple[dict[str, float], float, float, float]:
-    """(weights, budget, limit exponent, entropy exponent).
+    """(weights, budget, exponent, entropy exponent).
 
     Without a budget it is the largest at which every source with tokens reaches its target share
-    within its repeats. With one, the sources that can't reach theirs are used to their limit, and
-    the rest of the budget goes to the others in proportion to their targets. The exponents are
-    those of the tempered token shares alone: the least of [0, 1] at which they keep the repeats at
-    this budget (1 if none does), and the one at which their entropy is that of the targets.
+    within its repeats. With one, the weights are those of `blend` at the greatest exponent that
+    keeps all repeats. The sources whose repeats stop it there stay at their limit, and the others
+    share what is left by a greater exponent, until it is 1: then all of them stand in the
+    proportion of their targets. `exponent` is that of the first stop (1 if nothing stops it); the
+    entropy exponent is the one at which the tempered token shares alone have the targets' entropy.
     """
     live = {s: t for s, t in targets.items() if t > 0 and tokens.get(s, 0) > 0 and repeats.get(s, 0) > 0}
     if not live:
@@ -50,29 +63,39 @@ def solve_weights(tokens: dict[str, int], targets: dict[str, float], repeats: di
     total = sum(live.values())
     target = {s: t / total for s, t in live.items()}
     sizes = {s: tokens[s] for s in live}
-    room = {s: repeats[s] * sizes[s] for s in live}
-    natural = temper({s: n / sum(sizes.values()) for s, n in sizes.items()}, 1.0)
+    room = {s: float(repeats[s] * sizes[s]) for s in live}
+    natural = {s: n / sum(sizes.values()) for s, n in sizes.items()}
     goal = entropy(target)
     flat = 1.0 - bisect(0.0, 1.0, lambda x: entropy(temper(natural, 1.0 - x)) <= goal)
     largest = min(room[s] / target[s] for s in live)
     budget = largest if budget is None else min(budget, sum(room.values()))
-    fits = lambda w: all(budget * w[s] <= room[s] * (1 + 1e-12) for s in live)
-    exponent = 1.0 - bisect(0.0, 1.0, lambda x: fits(temper(natural, 1.0 - x))) if fits(natural) else 1.0
-    weights = target
-    capped: dict[str, float] = {}
-    while True:  # each pass caps at least one more source
-        free = [s for s in live if s not in capped]
-        left = budget - sum(capped.values())
-        scale = sum(weights[s] for s in free)
-        over = [s for s in free if left * weights[s] / scale > room[s] * (1 + 1e-12)]
+    stops: list[float] = []
+    given: dict[str, float] = {}
+    while True:  # each pass fixes at least one more source at its limit
+        free = [s for s in live if s not in given]
+        left = budget - sum(given.values())
+        use = lambda x: {s: left * w for s, w in blend({s: natural[s] for s in free}, {s: target[s] for s in free}, x).items()}  # noqa: E731, B023
+        # only a source whose target itself is out of reach may be stopped
+        over = [s for s, n in use(1.0).items() if n > room[s] * (1 + 1e-12)]
         if not over:
+            given |= use(1.0)
             break
-        capped |= {s: room[s] for s in over}
-    given = capped | {s: left * weights[s] / scale for s in free}
-    return {s: given[s] / budget for s in live}, budget, exponent, flat
+        at = bisect(0.0, 1.0, lambda x: all(use(x)[s] <= room[s] for s in over))  # noqa: B023
+        stops.append(at)
+        there = use(at)
+        least = min(room[s] / there[s] for s in over)
+        given |= {s: room[s] for s in over if room[s] / there[s] <= max(least, 1.0) * (1 + 1e-9)}
+    return {s: given[s] / budget for s in live}, budget, (stops or [1.0])[0], flat
+
+
+def size_sources(documents: DataFrame, targets: DataFrame, seed: int = 17, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, source, n_tokens of the documents of the target sources, written once for several mixes."""
+    wanted = [r["source"] for r in targets.select("source").distinct().collect() if r["source"] is not None]
+    sized = documents.filter(F.col("source").isin(wanted)).select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("n_tokens")).filter("n_tokens > 0")
+    return Scratch(documents.sparkSession, "mix").write(sized.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")))
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame, full: bool = False, seed: int = 17, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix_sources(documents: DataFrame, targets: DataFrame, full: bool = False, sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(mix, report). mix: source, doc_id, copy_no, n_tokens; report: one row per target source.
 
     full: the budget is the size of all documents of the target sources; else the largest that meets
@@ -80,31 +103,30 @@ def mix_sources(documents: DataFrame, targets: DataFrame, full: bool = False, se
     last partial one: its documents in random order by blocks, each block in random order within.
     A text is used at most max_repeats times. Documents without a source or tokens take no part;
     sources without targets neither. documents(doc_id, source, text) must have unique ids; targets
-    is a small parameter table (source, target_share, max_repeats).
+    is a small parameter table (source, target_share, max_repeats). sized: what size_sources gave.
     """
     spark = documents.sparkSession
-    scratch = Scratch(spark, "mix")
     wanted = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.select("source", "target_share", "max_repeats").distinct().collect() if r["source"] is not None}
-    sized = documents.filter(F.col("source").isin(list(wanted))).select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("n_tokens")).filter("n_tokens > 0")
-    sized = scratch.write(sized.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")))
-    tokens = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    sized = size_sources(documents, targets) if sized is None else sized
+    sums = sized.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    tokens, rows = {r["source"]: r["n"] for r in sums}, {r["source"]: r["rows"] for r in sums}
     goal = {s: float(t or 0) for s, (t, _) in wanted.items()}
     limits = {s: int(r or 0) for s, (_, r) in wanted.items()}
     weights, budget, exponent, flat = solve_weights(tokens, goal, limits, float(sum(tokens.values())) if full else None)
     plan = []
     for s, w in weights.items():
         epochs = math.floor(budget * w / tokens[s] + 1e-9)
-        plan.append((s, epochs, float(max(0.0, budget * w - epochs * tokens[s]))))
-    share = spark.createDataFrame(plan, "source string, epochs int, rest double")
+        plan.append((s, epochs, float(max(0.0, budget * w - epochs * tokens[s])), 1 + rows[s] // BLOCK_ROWS))
+    share = spark.createDataFrame(plan, "source string, epochs int, rest double, blocks int")
     planned = sized.join(F.broadcast(share), "source")
     whole = planned.filter("epochs > 0").select("source", "doc_id", F.explode(F.sequence(F.lit(1), F.col("epochs"))).alias("copy_no"), "n_tokens")
-    block = F.pmod(F.xxhash64("_h", "epochs"), F.lit(BLOCKS)).alias("_b")
+    block = F.pmod(F.xxhash64("_h", "epochs"), F.col("blocks")).alias("_b")
     last = planned.filter("rest > 0").select("source", "doc_id", "n_tokens", "_h", "epochs", "rest", block)
     sums = last.groupBy("source", "_b").agg(F.sum("n_tokens").alias("_n"))
     before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     placed = last.join(F.broadcast(sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))), ["source", "_b"])
     inside = placed.filter(F.col("_before") + F.col("_n") <= F.col("rest"))
-    # one block of each source straddles its budget; only that one needs a running sum
+    # one block of each source, of about BLOCK_ROWS, straddles its budget; only that one needs a running sum
     edge = placed.filter((F.col("_before") < F.col("rest")) & (F.col("_before") + F.col("_n") > F.col("rest")))
     running = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     # the document on the budget itself is used if more than half of it fits

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gantry.llm.conversations import channel_threads, rebuild_conversations
 from gantry.llm.docs import code_pairs, documented_functions
-from gantry.llm.mixing import mix_sources
+from gantry.llm.mixing import mix_sources, size_sources
 from gantry.llm.packing import pack_documents, packing_report
 from gantry.llm.parsing import parse_files, parse_rates
 from gantry.llm.provenance import mark_files, provenance_report
@@ -88,7 +88,8 @@ def p9_exact(spark: SparkSession, folder: str) -> DataFrame:
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Shares reached by the exact mix and by one as large as all documents."""
     documents, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
-    exact, full = (mix_sources(documents, targets, full=f)[1].withColumn("budget_kind", F.lit(k)) for f, k in ((False, "exact"), (True, "full")))
+    sized = size_sources(documents, targets)
+    exact, full = (mix_sources(documents, targets, full=f, sized=sized)[1].withColumn("budget_kind", F.lit(k)) for f, k in ((False, "exact"), (True, "full")))
     return exact.unionByName(full)
 
 

@@ -127,6 +127,20 @@ def test_solve_weights():
     for want in (150.0, 600.0, 1110.0, 5000.0):
         weights, budget, exponent, _ = solve_weights(tokens, targets, repeats, want)
         assert sum(weights.values()) == pytest.approx(1) and all(budget * weights[s] <= repeats[s] * tokens[s] * (1 + 1e-9) for s in tokens) and 0 <= exponent <= 1
+    # the bisected exponents end where pouring the budget by targets up to the limits ends
+    rng = random.Random(4)
+    for _ in range(60):
+        names = "abcdef"[: rng.randint(1, 6)]
+        tokens, repeats = {s: rng.randint(1, 10 ** rng.randint(1, 6)) for s in names}, {s: rng.randint(1, 5) for s in names}
+        targets = {s: rng.random() + 0.01 for s in names}
+        want = rng.random() * 2 * sum(tokens.values()) + 1
+        weights, budget, exponent, _ = solve_weights(tokens, targets, repeats, want)
+        low, high = 0.0, 1e12
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(repeats[s] * tokens[s], mid * targets[s]) for s in names) <= budget else (low, mid)
+        for s in names:
+            assert budget * weights[s] == pytest.approx(min(repeats[s] * tokens[s], low * targets[s]), rel=1e-6)
     assert solve_weights({}, targets, repeats) == ({}, 0.0, 0.0, 0.0)
 
 
