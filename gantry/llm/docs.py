@@ -93,7 +93,7 @@ class Scan:
             self.kinds = ""
             return
         self.tokens = self.lang.lexer.findall(self.text)
-        if not self.tokens[-1]:
+        while self.tokens and not self.tokens[-1]:
             self.tokens.pop()
         self.raw = kinds = self.lang.raw(self.tokens)
         self.sizes = None
