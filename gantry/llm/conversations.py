@@ -1,8 +1,8 @@
 """Problem 6: rebuilding conversations from message rows.
 
-Within a channel each message is scored against the messages shortly before it as the one it
-replies to: by time, by mentions of what the other said, by shared words. The likeliest parent makes
-a link; links form trees. In a stored conversation the tree must be one chain of turns.
+Within a channel each message is scored against earlier messages as the one it replies to: by time,
+by mentions of what the other said, by shared words. The likeliest parent makes a link; links form
+trees. A stored conversation is kept if its messages make one tree, whose order then is checked.
 """
 
 from __future__ import annotations
@@ -11,16 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gantry.operators.hierarchy import resolve_hierarchy
-from gantry.operators.skew import distributed_rank
+from gantry.operators.skew import distributed_rank, lookup
+from gantry.session import Scratch
 
-#: Candidates: so many messages before. Blocks of a channel's messages that one task looks at.
-CANDIDATES, BLOCK = 6, 4096
-#: Within one conversation the order decides: each step back halves the time score, and the other scores can't outweigh a step.
-CHAIN = {"step": 1.0, "time": 0.0, "mention": 0.2, "words": 0.2}
-#: In a channel of many conversations time, mentions and words decide.
-CHANNEL = {"step": 0.1, "time": 1.0, "mention": 1.0, "words": 1.0}
-#: Seconds in which the time score halves.
-HALF_LIFE = 600.0
+#: Messages of a channel that one task looks at for the nearest ones before.
+BLOCK = 4096
+#: Weights of the three scores, each between 0 and 1.
+WEIGHTS = {"time": 1.0, "mention": 2.0, "words": 2.0}
+#: Seconds in which the time score halves, and seconds beyond which a shared word says nothing.
+HALF_LIFE, HORIZON = 600.0, 21_600
 
 #: Spellings of the three roles.
 _ROLES = {
@@ -60,64 +59,96 @@ def read_messages(messages: DataFrame) -> DataFrame:
     )
 
 
-def reply_links(messages: DataFrame, channel: str, weights: dict[str, float]) -> DataFrame:
-    """Adds rn (rank in the channel by time) and parent_id, the likeliest of the CANDIDATES messages before.
+def _fitting(kind: str, cond: Column, facts: Column, window) -> Column:
+    return F.last(F.when(F.col("at").isNotNull() & cond, facts), ignorenulls=True).over(window).alias(kind)
 
-    A message of the user or of the assistant replies to the other side, or to a system message; a
-    system message only to a system message. Without such a candidate parent_id is null. Messages
-    without a time come last in their channel and have no parent. Ties go to the nearer message.
+
+def _of_side(prefix: str = "") -> Column:
+    """The candidate that fits a message's role: the other side or the system for user and assistant, else the system."""
+    return F.when(F.col("role") == "user", F.col(prefix + "to_user")).when(F.col("role") == "assistant", F.col(prefix + "to_assistant")).otherwise(F.col(prefix + "to_other"))
+
+
+def _befores(facts: Column, window) -> list[Column]:
+    role = F.col("role")
+    return [_fitting("to_user", role.isin("assistant", "system"), facts, window), _fitting("to_assistant", role.isin("user", "system"), facts, window), _fitting("to_other", role == "system", facts, window)]
+
+
+def reply_links(messages: DataFrame, channel: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """Adds rn (rank in the channel by time), parent_id and parent_rn, the likeliest message replied to.
+
+    A message of the user or of the assistant replies to the other side, or to a system message;
+    others only to a system message. Candidates are the nearest fitting message before, however
+    long ago; the message that owns an id which the text mentions, however long ago; and for each
+    of the message's words the nearest fitting message of the last HORIZON seconds that has it. A
+    word counts for its candidate by the inverse root of the number of messages that have it at that
+    time, as a share of all the message's words. So each message has no more candidates than words,
+    and no pair of messages is formed; an earlier message can't win by a word that a later one has
+    too. Without a candidate parent_id is null. Messages without a time come last in their channel,
+    have no parent and are none. Ties go to the nearer message.
     """
+    scratch = Scratch(messages.sparkSession, "links")
     keyed = messages.filter(F.col(channel).isNotNull())
+    ranked = scratch.write(distributed_rank(keyed, [channel], [F.col("at").asc_nulls_last(), F.col("turn_rank"), F.col("message_id")], "rn"))
+    facts = F.struct("rn", "at", "message_id")
+    # the nearest before: within blocks of a channel, then what the blocks before left
+    blocks = ranked.select(channel, "rn", "role", "at", "message_id", F.floor((F.col("rn") - 1) / BLOCK).alias("block"))
+    near = blocks.select("*", *_befores(facts, Window.partitionBy(channel, "block").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)))
+    left = blocks.filter(F.col("at").isNotNull()).groupBy(channel, "block").agg(*[
+        F.max(F.when(c, facts)).alias(k) for k, c in (("to_user", F.col("role").isin("assistant", "system")), ("to_assistant", F.col("role").isin("user", "system")), ("to_other", F.col("role") == "system"))
+    ])
+    earlier = Window.partitionBy(channel).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    left = left.select(channel, "block", *[F.last(c, ignorenulls=True).over(earlier).alias("old_" + c) for c in ("to_user", "to_assistant", "to_other")])
+    near = near.join(left, [channel, "block"], "left").select(channel, "rn", "at", F.coalesce(_of_side(), _of_side("old_")).alias("c"), F.lit(0.0).alias("w"), F.lit(0).alias("m"))
+    # shared words: windows over the messages of one word in one stretch of time and the stretch before
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 3))
-    ranked = distributed_rank(keyed, [channel], [F.col("at").asc_nulls_last(), F.col("turn_rank"), F.col("message_id")], "rn")
-    ranked = ranked.withColumn("block", F.floor((F.col("rn") - 1) / BLOCK))
-    # a message also shows in the next block if that begins within its reach
-    reach = F.floor((F.col("rn") - 1 + CANDIDATES) / BLOCK)
-    shown = ranked.withColumn("words", words).withColumn("seen", F.explode(F.array_distinct(F.array("block", reach))))
-    window = Window.partitionBy(channel, "seen").orderBy("rn")
-    facts = F.struct("message_id", "role", "at", "words", "call_ids", "rn")
-    before = shown.withColumn("before", F.collect_list(facts).over(window.rowsBetween(-CANDIDATES, -1))).filter(F.col("seen") == F.col("block"))
-    seconds = lambda c: F.greatest(F.col("at").cast("double") - c["at"].cast("double"), F.lit(0.0))
-    shared = lambda c: F.size(F.array_intersect("words", c["words"])) / F.greatest(F.size(F.array_union("words", c["words"])), F.lit(1))
-    mention = lambda c: F.when(F.exists(c["call_ids"], lambda x: F.contains(F.coalesce("text", F.lit("")), x)) | F.contains(F.coalesce("text", F.lit("")), c["message_id"]), 1.0).otherwise(0.0)
-
-    def score(c: Column) -> Column:
-        return (
-            F.lit(weights["step"]) * F.pow(F.lit(0.5), (F.col("rn") - c["rn"] - 1).cast("double"))
-            + F.lit(weights["time"]) * F.pow(F.lit(0.5), seconds(c) / HALF_LIFE)
-            + F.lit(weights["mention"]) * mention(c) + F.lit(weights["words"]) * shared(c)
-        )
-
-    fits = lambda c: c["at"].isNotNull() & ((c["role"] == "system") | (F.col("role").isin("user", "assistant") & c["role"].isin("user", "assistant") & (c["role"] != F.col("role"))))
-    candidates = F.transform(F.filter("before", fits), lambda c: F.struct(score(c).alias("score"), c["rn"].alias("rn"), c["message_id"].alias("message_id")))
-    best = F.array_max(candidates)
-    return before.withColumn("parent_id", F.when(F.col("at").isNotNull(), best["message_id"])).withColumn("parent_rn", F.when(F.col("at").isNotNull(), best["rn"])).drop("before", "seen", "block", "words")
+    told = ranked.filter(F.col("at").isNotNull()).select(channel, "rn", "role", "at", "message_id", F.floor(F.col("at").cast("double") / HORIZON).alias("stretch"), F.explode(words).alias("word"))
+    shown = told.withColumn("seen", F.explode(F.array(F.col("stretch"), F.col("stretch") + 1)))
+    group = Window.partitionBy(channel, "word", "seen")
+    rarity = 1 / F.sqrt(F.count(F.lit(1)).over(group))
+    voted = shown.select("*", rarity.alias("w"), *_befores(facts, group.orderBy("rn").rowsBetween(Window.unboundedPreceding, -1))).filter(F.col("seen") == F.col("stretch"))
+    c = _of_side()
+    votes = voted.select(channel, "rn", "at", F.when(c["at"].cast("double") >= F.col("at").cast("double") - HORIZON, c).alias("c"), "w", F.lit(0).alias("m"))
+    # mentions of ids, at any distance
+    owned = ranked.filter(F.col("at").isNotNull()).select(channel, F.explode(F.array_union(F.array("message_id"), F.coalesce("call_ids", F.array().cast("array<string>")))).alias("token"), "role", facts.alias("c"))
+    owned = owned.filter("token is not null").groupBy(channel, "token").agg(F.min_by(F.struct("role", "c"), "c").alias("o")).select(channel, "token", F.col("o.role").alias("o_role"), "o.c")
+    tokens = F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}_-]+"))
+    named = ranked.filter(F.col("at").isNotNull()).select(channel, "rn", "role", "at", F.explode(tokens).alias("token"))
+    fits = (F.col("o_role") == "system") | (F.col("role").isin("user", "assistant") & F.col("o_role").isin("user", "assistant") & (F.col("role") != F.col("o_role")))
+    met = lookup(named, owned, [channel, "token"], "inner").filter(fits & (F.col("c.rn") < F.col("rn")))
+    mentions = met.select(channel, "rn", "at", "c", F.lit(0.0).alias("w"), F.lit(1).alias("m"))
+    every = near.unionByName(votes).unionByName(mentions).groupBy(channel, "rn", "c").agg(F.sum("w").alias("w"), F.max("m").alias("m"), F.first("at").alias("at"))
+    share = F.col("w") / F.greatest(F.sum("w").over(Window.partitionBy(channel, "rn")), F.lit(1e-9))
+    time = F.pow(F.lit(0.5), F.greatest(F.col("at").cast("double") - F.col("c.at").cast("double"), F.lit(0.0)) / HALF_LIFE)
+    scored = every.withColumn("score", weights["time"] * time + weights["mention"] * F.col("m") + weights["words"] * share).filter("c is not null and at is not null")
+    best = scored.groupBy(channel, "rn").agg(F.max_by("c", F.struct("score", "c.rn")).alias("c")).select(channel, "rn", F.col("c.message_id").alias("parent_id"), F.col("c.rn").alias("parent_rn"))
+    return ranked.join(best, [channel, "rn"], "left")
 
 
 def rebuild_conversations(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     """conversation_id, turn_no, message_id, role, text: the messages of the kept conversations in order.
 
-    Kept is a listed conversation whose reply links form one chain in the order of time (system
-    messages first, then user and assistant in turn, the assistant last, one pair at least), whose
-    messages all have a time and say or call something, and whose tool calls all have results.
-    Conversations of any length are ranked and checked by aggregates, never gathered.
+    Kept is a listed conversation whose reply links make one tree (links go back in time, so that is
+    so if just one message has no parent), whose messages in the order of time are system messages,
+    then user and assistant in turn, the assistant last, one pair at least, all have a time and say
+    or call something, and whose tool calls all have results. Conversations of any length are ranked
+    and checked by aggregates, never gathered.
     """
-    linked = reply_links(read_messages(messages), "conversation_id", CHAIN)
+    linked = Scratch(messages.sparkSession, "turns").write(reply_links(read_messages(messages), "conversation_id"))
     speaks = F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))) > 0
-    sound = F.col("at").isNotNull() & F.col("role").isNotNull() & (speaks | ((F.col("role") == "assistant") & (F.col("calls") > 0))) & (F.col("open_calls") == 0)
-    chained = (F.col("rn") == 1) | (F.col("parent_rn") == F.col("rn") - 1)
-    system = F.col("role") == "system"
+    role = F.col("role")
+    sound = F.col("at").isNotNull() & role.isNotNull() & (speaks | ((role == "assistant") & (F.col("calls") > 0))) & (F.col("open_calls") == 0)
+    system, odd = role == "system", F.col("rn") % 2 == 1
     facts = linked.groupBy("conversation_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(sound).alias("sound"), F.count_if(chained).alias("chained"), F.count_if(system).alias("systems"),
-        F.max(F.when(system, F.col("rn"))).alias("last_system"), F.max_by("role", "rn").alias("last_role"),
+        F.count(F.lit(1)).alias("n"), F.count_if(sound).alias("sound"), F.count_if(F.col("parent_id").isNull()).alias("roots"), F.count_if(system).alias("systems"),
+        F.max(F.when(system, F.col("rn"))).alias("last_system"), F.count_if(role == "user").alias("users"), F.count_if(role == "assistant").alias("assistants"),
+        F.count_if((role == "user") & odd).alias("users_odd"), F.count_if((role == "assistant") & odd).alias("assistants_odd"),
     )
     listed = conversations.select(F.col("id").alias("conversation_id")).filter("conversation_id is not null").distinct()
-    good = facts.filter((F.col("sound") == F.col("n")) & (F.col("chained") == F.col("n")) & (F.coalesce("last_system", F.lit(0)) == F.col("systems")) & (F.col("last_role") == "assistant") & (F.col("n") - F.col("systems") >= 2))
-    good = good.join(listed, "conversation_id", "left_semi").select("conversation_id", "n", "systems")
-    kept = linked.join(good, "conversation_id")
-    # the first turn is the user's: turns alternate along the chain, so the others follow
-    first = kept.filter(F.col("rn") == F.col("systems") + 1).filter(F.col("role") == "user").select("conversation_id")
-    return kept.join(first, "conversation_id", "left_semi").select("conversation_id", F.col("rn").cast("int").alias("turn_no"), "message_id", "role", "text")
+    # as many users as assistants, each on places of one parity: they alternate
+    in_turn = F.when(F.col("systems") % 2 == 0, (F.col("users_odd") == F.col("users")) & (F.col("assistants_odd") == 0)).otherwise((F.col("users_odd") == 0) & (F.col("assistants_odd") == F.col("assistants")))
+    good = facts.filter((F.col("roots") == 1) & (F.col("sound") == F.col("n")) & (F.coalesce("last_system", F.lit(0)) == F.col("systems")) & (F.col("users") > 0) & (F.col("users") == F.col("assistants")) & in_turn)
+    good = good.join(listed, "conversation_id", "left_semi").select("conversation_id")
+    return linked.join(good, "conversation_id", "left_semi").select("conversation_id", F.col("rn").cast("int").alias("turn_no"), "message_id", "role", "text")
 
 
 def channel_threads(messages: DataFrame, conversations: DataFrame) -> DataFrame:
@@ -128,6 +159,6 @@ def channel_threads(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     """
     where = conversations.filter("id is not null").groupBy(F.col("id").alias("conversation_id")).agg(F.max("repository_id").alias("repository_id"))
     read = read_messages(messages).join(where, "conversation_id")
-    linked = reply_links(read, "repository_id", CHANNEL)
+    linked = reply_links(read, "repository_id")
     tree = resolve_hierarchy(linked.select(F.col("repository_id").alias("scope"), F.col("message_id").alias("child"), F.col("parent_id").alias("parent")))
     return linked.select("message_id", "repository_id", "conversation_id", "parent_id").join(tree.select(F.col("node").alias("message_id"), "root_id", "depth"), "message_id")

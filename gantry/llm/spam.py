@@ -1,131 +1,96 @@
 """Problem 10: keyword-stuffed and link-list pages, by the mutual information of neighbouring words.
 
 Pair and word counts over the distinct texts of the corpus give each pair of neighbouring words its
-pointwise mutual information, without the text's own occurrences, so copies don't vouch for each other. Pages whose words don't belong together, or
-that repeat their collocations beyond measure, are candidates; a candidate is spam if most of its
-words stand outside sentences and ordinary technical content, or one collocation makes up the text.
+normalised pointwise mutual information, without the text's own occurrences, so that copies don't
+vouch for each other. A page is spam if its words belong together far less than those of pages of
+its length (word salad, product lists), less so if links or tags stand between most of them (link
+lists), or if one collocation makes up too much of it. All of it runs in the JVM.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
-import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gantry.operators.skew import lookup
 from gantry.session import Scratch
 
-#: Pages of fewer words aren't judged.
-LEAST_WORDS = 12
-#: Incoherent: mean (normalised) information below the corpus median less this. Repeated: share of pairs seen three times or more.
-BELOW_MEDIAN, BELOW_NORMALISED, REPEATED_SHARE = 0.2, 0.05, 0.2
-#: The check: share of words in lists, and share of the text that its commonest collocation makes up (from so many words on).
-LIST_SHARE, ONE_COLLOCATION, LEAST_FOR_ONE = 0.5, 0.3, 20
-#: A sentence has so many words and this share of function words.
-SENTENCE_WORDS, FUNCTION_SHARE = 4, 0.1
-
-#: Function words of the five languages.
-_FUNCTION_WORDS = set("""
-the a an of to in is are was were be been and that this it its for on with as by from or not when which at have has so if no than but only who them they some until since before after into our we you your one same does do
-der die das den dem des und nicht ist sind war zu von sich auch ob noch weil ein eine für mit auf bis als wer was wird wurde im ohne wir haben danach
-le la les l et que qui ne pas pour est un une dans au du des de se sur ce puis nous avons sans n d car soit encore à
-el los las y en no es se con por lo una para si al del su sin hasta eso más hemos porque quien después todavía debería a
-o os não e um uma do da em é até seja que por depois disso ainda também se sem dá
-""".split())
-_URL = re.compile(r"(?:https?://|www\.)[^\s<>\")\]]+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|org|net|io|dev|app|info|biz|co)\b[^\s<>\")\]]*")
-_BREAK = re.compile(r"<br\s*/?>|</(?:li|p|div|tr|td|h\d)>", re.I)
-_TAGS = re.compile(r"<[^>\n]*>")
-_SENTENCE = re.compile(r"(?<=[.!?;:])\s+")
-_WORDS = re.compile(r"[^\W\d_]+|#\w+")
-_CODE = re.compile(r"[=(){}\[\]]|^\s{4}|^\s*\[?\d{1,4}[-:]\d\d|^\s*[$>+-]{1,3} ?\w+ -|^@@|\b(?:ERROR|INFO|WARN|DEBUG|PASSED|FAILED)\b|^\s*\|.*\|\s*$")
-_PAIR_WORDS = re.compile(r"\x01|#\w+|\w+")
+#: Pages of fewer pairs of neighbouring words aren't judged, and by their commonest collocation not below COLLOCATION_PAIRS.
+LEAST_PAIRS, COLLOCATION_PAIRS = 8, 12
+#: Incoherent: so many deviations, and at least LEAST_GAP, below the median of pages of like length; fewer deviations if so large a share of the pairs has a link, tag or number.
+DEVIATIONS, LEAST_GAP, MARKED_SHARE, MARKED_DEVIATIONS = 2.8, 0.08, 0.5, 1.5
+#: Repeated: the share of all pairs that are one and the same.
+ONE_COLLOCATION = 0.16
+#: Pages of like length: powers of two of their word pairs, between these; with fewer pages than FEW the median is that of all pages.
+LEAST_BIN, MOST_BIN, FEW = 2, 9, 50
+#: Occurrences that a pair which no other text has counts for.
+UNSEEN = 0.1
+
+#: What a link looks like; the endings are those of names without a scheme.
+_LINK = r"(?:https?://|www\.)[^\s<>\")\]]+|\b[\p{L}\p{N}_-]++(?:\.[\p{L}\p{N}_-]+)*\.(?:example|test|invalid|com|org|net|io|dev|app|info|biz|co)\b[^\s<>\")\]]*"
+_TAG = r"<[^>\n]*>"
 LINK, TAG, NUMBER = "\x01", "\x02", "\x03"
 
-PAGE = "struct<pairs array<struct<x bigint, y bigint, n int>>, words int, listed double, top double>"
-
-
-def pair_words(text: str) -> list[str]:
-    """The words of a page; links, hash tags and numbers count as one word each."""
-    text = _URL.sub(" \x01 ", _TAGS.sub(" ", text).lower())
-    return [NUMBER if w[0].isdigit() else TAG if w[0] == "#" else w for w in _PAIR_WORDS.findall(text)]
 
+def page_words(text: Column) -> Column:
+    """The words of a page in order; links, hash tags and numbers count as one word each."""
+    plain = F.regexp_replace(F.lower(F.regexp_replace(text, _TAG, " ")), _LINK, " \x01 ")
+    words = F.regexp_extract_all(plain, F.lit(r"\x01|#[\p{L}\p{N}_]+|[\p{L}\p{N}_]+"), F.lit(0))
+    return F.transform(words, lambda w: F.when(w.startswith("#"), TAG).when(w.rlike(r"^\p{N}"), NUMBER).otherwise(w))
 
-def list_shares(text: str) -> tuple[int, float, float]:
-    """Words, the share of them outside sentences and code, and the share that the commonest pair makes up."""
-    text = _TAGS.sub(" ", _BREAK.sub("\n", text))
-    total = told = n = 0
-    fenced = False
-    pairs: Counter = Counter()
-    for line in text.split("\n"):
-        if line.lstrip().startswith("```"):
-            fenced = not fenced
-            continue
-        for part in _SENTENCE.split(line):
-            bare, links = _URL.subn(" ", part)
-            words = _WORDS.findall(bare.lower())
-            size = len(words) + 2 * links
-            if not size:
-                continue
-            total += size
-            n += len(words)
-            pairs.update(zip(words, words[1:]))
-            known = sum(w in _FUNCTION_WORDS for w in words)
-            if fenced or not links and _CODE.search(bare) or len(words) >= SENTENCE_WORDS and known and known >= FUNCTION_SHARE * len(words):
-                told += size
-    top = 2 * pairs.most_common(1)[0][1] / n if pairs else 0.0
-    return total, 1 - told / total if total else 0.0, top
 
-
-def page_facts(text: str | None) -> tuple:
-    """(pairs with their counts, words, list share, share of the commonest pair) of a page."""
-    if not text:
-        return [], 0, 0.0, 0.0
-    ids = [xxhash.xxh64_intdigest(w) - (1 << 63) for w in pair_words(text)]
-    pairs = [(x, y, n) for (x, y), n in Counter(zip(ids, ids[1:])).items()]
-    return (pairs, *list_shares(text))
+def word_pairs(texts: DataFrame) -> DataFrame:
+    """h, x, y, n: neighbouring words of texts(h, text), as hashes, and how often each text has them."""
+    words = texts.select("h", F.transform(page_words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
+    # the last word has no neighbour; null ends drop with it
+    pairs = words.select("h", F.explode(F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, 2**30).alias("y"))).alias("p")).select("h", "p.x", "p.y")
+    return pairs.filter("y is not null").groupBy("h", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
 def judge_pages(pages: DataFrame) -> DataFrame:
-    """doc_id, words, information, normalised, repeated, listed, top, candidate, spam of pages(doc_id, text).
+    """doc_id, pairs, word_pairs, normalised, gap, deviation, repeated, spam of pages(doc_id, text).
 
-    Null, empty and one-word pages have no information and are no spam. Whole texts are read, and
-    counts and medians are those of the distinct texts, whose verdict goes to each page with that text.
+    normalised: mean normalised information of the pairs of two words; gap: how far it lies below
+    the median of pages of like length, deviation: the median distance from it there (scaled to a
+    standard deviation). Null, empty and one-word pages have no pairs and are no spam. Whole texts
+    are read, and counts and medians are those of the distinct texts, whose verdict goes to each
+    page with that text.
     """
-
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([page_facts(t) for t in texts], columns=["pairs", "words", "listed", "top"])
-
-    spark = pages.sparkSession
-    scratch = Scratch(spark, "pages")
-    key = F.coalesce(F.sha2("text", 256), F.lit("")).alias("h")
+    scratch = Scratch(pages.sparkSession, "pages")
+    key = F.unhex(F.md5("text")).alias("h")
     ids = scratch.write(pages.select("doc_id", key))
-    texts = pages.select(key, "text").distinct()
-    facts = scratch.write(texts.select("h", F.pandas_udf(run, PAGE)("text").alias("f")).select("h", "f.*"))
-    rows = facts.select("h", F.explode("pairs").alias("p")).select("h", "p.*")
+    texts = pages.filter("text is not null").select(key, "text").groupBy("h").agg(F.first("text").alias("text"))
+    rows = scratch.write(word_pairs(texts))
     counts = scratch.write(rows.groupBy("x", "y").agg(F.sum("n").alias("c")))
-    # a word's count is that of the pairs it opens; the total is that of all pairs
+    # a word's count is that of the pairs it opens or closes; the total is that of all pairs
     first = counts.groupBy("x").agg(F.sum("c").alias("cx"))
     second = counts.groupBy("y").agg(F.sum("c").alias("cy"))
     total = counts.agg(F.sum("c").alias("m"))
-    stats = counts.join(first, "x").join(second, "y").crossJoin(F.broadcast(total))
-    met = lookup(rows, stats, ["x", "y"], "inner")
-    others = F.greatest(F.col("c") - F.col("n"), F.lit(0)) + F.lit(0.1)
-    information = F.log(others * F.col("m") / (F.col("cx") * F.col("cy")))
-    normalised = information / -F.log(others / F.col("m"))
-    n = F.col("n")
-    by_text = met.groupBy("h").agg(
-        (F.sum(n * information) / F.sum(n)).alias("information"), (F.sum(n * normalised) / F.sum(n)).alias("normalised"),
-        (F.sum(F.when(n >= 3, n).otherwise(0)) / F.sum(n)).alias("repeated"),
+    stats = lookup(lookup(counts, first, ["x"], "inner"), second, ["y"], "inner")
+    met = lookup(rows, stats, ["x", "y"], "inner").crossJoin(F.broadcast(total))
+    n, others = F.col("n"), F.greatest(F.col("c") - F.col("n"), F.lit(0)) + F.lit(UNSEEN)
+    normalised = F.log(others * F.col("m") / (F.col("cx").cast("double") * F.col("cy"))) / -F.log(others / F.col("m"))
+    mark = lambda c: F.col(c).isin(*[F.xxhash64(F.lit(m)) for m in (LINK, TAG, NUMBER)])
+    words = ~mark("x") & ~mark("y")
+    sums = met.groupBy("h").agg(
+        F.sum(n).alias("pairs"), F.coalesce(F.sum(F.when(words, n)), F.lit(0)).alias("word_pairs"), F.sum(F.when(words, n * normalised)).alias("s"), (F.max(n) / F.sum(n)).alias("repeated"),
+    )
+    size = F.greatest(F.least(F.floor(F.log2(F.col("word_pairs"))), F.lit(MOST_BIN)), F.lit(LEAST_BIN))
+    facts = scratch.write(sums.select("h", "pairs", "word_pairs", "repeated", (F.col("s") / F.col("word_pairs")).alias("normalised"), F.when(F.col("word_pairs") > 0, size).alias("size")))
+    judged = facts.filter((F.col("pairs") >= LEAST_PAIRS) & F.col("size").isNotNull())
+    middle = lambda c, name: F.percentile_approx(c, 0.5, 10000).alias(name)
+    everywhere = judged.agg(middle("normalised", "all_median"))
+    # at most MOST_BIN rows, and one for all
+    by_size = judged.groupBy("size").agg(middle("normalised", "median"), F.count(F.lit(1)).alias("members")).crossJoin(F.broadcast(everywhere))
+    medians = by_size.select("size", F.when(F.col("members") >= FEW, F.col("median")).otherwise(F.col("all_median")).alias("median"), (F.col("members") >= FEW).alias("enough"))
+    away = judged.join(F.broadcast(medians), "size").withColumn("away", F.abs(F.col("normalised") - F.col("median")))
+    spread = away.groupBy("size").agg(middle("away", "own")).crossJoin(F.broadcast(away.agg(middle("away", "overall"))))
+    scale = medians.join(spread, "size").select("size", "median", (1.4826 * F.when(F.col("enough"), F.col("own")).otherwise(F.col("overall"))).alias("deviation"))
+    gap = F.col("median") - F.col("normalised")
+    far = F.when(1 - F.col("word_pairs") / F.col("pairs") > MARKED_SHARE, MARKED_DEVIATIONS).otherwise(DEVIATIONS)
+    salad = (gap > LEAST_GAP) & (gap > far * F.col("deviation"))
+    one = (F.col("repeated") > ONE_COLLOCATION) & (F.col("pairs") >= COLLOCATION_PAIRS)
+    verdict = facts.join(F.broadcast(scale), "size", "left").select(
+        "h", "pairs", "word_pairs", "normalised", gap.alias("gap"), "deviation", "repeated", ((F.col("pairs") >= LEAST_PAIRS) & (F.coalesce(salad, F.lit(False)) | one)).alias("spam"),
     )
-    joined = facts.drop("pairs").join(by_text, "h", "left")
-    long = F.col("words") >= LEAST_WORDS
-    medians = joined.filter(long).agg(F.percentile_approx("information", 0.5, 10000).alias("mi"), F.percentile_approx("normalised", 0.5, 10000).alias("mn"))
-    judged = joined.crossJoin(F.broadcast(medians))
-    candidate = long & ((F.col("information") < F.col("mi") - BELOW_MEDIAN) | (F.col("normalised") < F.col("mn") - BELOW_NORMALISED) | (F.col("repeated") > REPEATED_SHARE))
-    listed = (F.col("listed") > LIST_SHARE) | ((F.col("top") > ONE_COLLOCATION) & (F.col("words") >= LEAST_FOR_ONE))
-    verdict = judged.withColumn("candidate", F.coalesce(candidate, F.lit(False))).withColumn("spam", F.col("candidate") & listed).drop("mi", "mn")
-    return lookup(ids, verdict, ["h"], "inner").drop("h")
+    return lookup(ids, verdict, ["h"], "left").drop("h").fillna(0, ["pairs", "word_pairs"]).fillna(False, ["spam"])

@@ -1,6 +1,7 @@
 import json
 import math
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -8,11 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from gantry.llm import queries
-from gantry.llm.conversations import rebuild_conversations
+from gantry.llm.conversations import read_messages, rebuild_conversations, reply_links
 from gantry.llm.mixing import entropy, mix_sources, solve_weights
 from gantry.llm.packing import pack_documents, pack_histogram, packing_report
 from gantry.llm.ranking import INDIFFERENT, STEPS, STRICT, outranking
-from gantry.llm.spam import judge_pages, list_shares
+from gantry.llm.spam import LINK, NUMBER, TAG, judge_pages, word_pairs
 
 MESSAGE = "id string, conversation_id string, role string, content_json string, created_at timestamp_ntz"
 
@@ -160,24 +161,37 @@ def test_mix_sources(spark):
     assert mix_sources(documents.limit(0), targets)[0].count() == 0
 
 
+def _corpus(rng, n=200):
+    nouns, verbs = [f"noun{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50)], ["keeps", "reads", "drops", "moves"]
+    say = lambda: f"When the {rng.choice(nouns)} has no {rng.choice(nouns)}, the team {rng.choice(verbs)} it and says so in the log."
+    # as in any corpus, code and links aren't the matter of one page alone
+    code = lambda i: "\n```\nx = f(a, b)\nreturn x\n```\n" if i % 7 == 0 else f" See https://a.example/{i}: " if i % 7 == 1 else " "
+    return nouns, say, [(i, code(i).join([say() + " " + say() for _ in range(3)])) for i in range(n)]
+
+
 def test_spam_pages(spark):
     rng = random.Random(2)
-    nouns, verbs = [f"noun{i}" for i in range(50)], ["keeps", "reads", "drops", "moves"]
-    say = lambda: f"When the {rng.choice(nouns)} has no {rng.choice(nouns)}, the team {rng.choice(verbs)} it and says so in the log."
-    good = [(i, " ".join(say() for _ in range(6))) for i in range(200)]
-    spam = [(900, ", ".join(f"buy {a} now" for a in ["cheap noun1"] * 30)), (901, "\n".join(f"* {rng.choice(nouns)}: https://a{i}.example/x?p={i}" for i in range(30))), (902, " ".join(f"#tag{i}" for i in range(40))), (903, "Why red noun? Since red noun makes red noun better red noun. " * 6), (904, say() + "\n" + " / ".join(rng.choice(nouns) + " " + rng.choice(nouns) for _ in range(60)))]
-    other = [(800, None), (801, ""), (802, "fix: load"), (803, say() + "\n```\n" + "x = f(a, b)\n" * 8 + "```\n" + say()), (804, "- [a](https://a.example/x): " + say() + "\n- [b](https://b.example/y): " + say())]
-    got = {r["doc_id"]: r["spam"] for r in judge_pages(spark.createDataFrame(good + spam + other, "doc_id bigint, text string")).collect()}
+    nouns, say, good = _corpus(rng)
+    spam = [(900, ", ".join(["buy cheap nounaa now"] * 30)), (901, "\n".join(f"* {rng.choice(nouns)} {rng.choice(nouns)}: https://a{i}.example/x?p={i}" for i in range(30))), (902, " ".join(f"#tag{i}" for i in range(40))), (904, " / ".join(rng.choice(nouns) + " " + rng.choice(nouns) for _ in range(60)))]
+    other = [(800, None), (801, ""), (802, "fix: load"), (803, say() + "\n```\n" + "x = f(a, b)\nreturn x\n```\n" + say()), (804, "- [a](https://a.example/x): " + say() + "\n- [b](https://b.example/y): " + say()), (805, "one"), (806, "x " * 5)]
+    pages = spark.createDataFrame(good + spam + other, "doc_id bigint, text string").withColumn("h", F.lit(1)).withColumn("pairs", F.lit("clash"))
+    got = {r["doc_id"]: r["spam"] for r in judge_pages(pages.select("doc_id", "text")).collect()}
     assert {k for k, v in got.items() if v} == {k for k, _ in spam} and len(got) == len(good + spam + other)
     assert judge_pages(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
-    assert list_shares("") == (0, 0.0, 0.0)
+
+
+def test_word_pairs_equal_brute_force(spark):
+    text = "The Größe of <b>x</b> https://a.example/p?q=1 is 42, see docs.site.test/x #tag_1 the größe of x"
+    rows = word_pairs(spark.createDataFrame([("t", text), ("e", ""), ("o", "one")], "h string, text string"))
+    hashed = {r["k"]: r["w"] for r in spark.createDataFrame([(w,) for w in ["the", "größe", "of", "x", "is", "see", LINK, TAG, NUMBER]], "w string").select(F.xxhash64("w").alias("k"), "w").collect()}
+    got = {(hashed[r["x"]], hashed[r["y"]]): r["n"] for r in rows.collect()}
+    words = ["the", "größe", "of", "x", LINK, "is", NUMBER, "see", LINK, TAG, "the", "größe", "of", "x"]
+    assert got == dict(Counter(zip(words, words[1:])))
 
 
 def test_copies_of_a_spam_page_do_not_vouch_for_it(spark):
     rng = random.Random(2)
-    nouns = [f"noun{i}" for i in range(50)]
-    say = lambda: f"When the {rng.choice(nouns)} has no {rng.choice(nouns)}, the team keeps it and says so in the log."
-    good = [(i, " ".join(say() for _ in range(6))) for i in range(200)]
+    nouns, say, good = _corpus(rng)
     page = " / ".join(rng.choice(nouns) + " " + rng.choice(nouns) for _ in range(60))
     copies = [(900 + i, page) for i in range(100)]
     schema = "doc_id bigint, text string"
@@ -186,11 +200,34 @@ def test_copies_of_a_spam_page_do_not_vouch_for_it(spark):
     assert sorted(r["doc_id"] for r in got) == [300, 301, 302] + [k for k, _ in copies]
     for r in got:
         if r["doc_id"] >= 900:
-            assert r["spam"] and r["information"] == pytest.approx(alone["information"]) and r["normalised"] == pytest.approx(alone["normalised"])
+            assert r["spam"] and r["normalised"] == pytest.approx(alone["normalised"])
         else:
             assert not r["spam"]
 
 
+def test_reply_links_in_interleaved_channels(spark):
+    """Recall of the true parent where many topical conversations run at once in one channel, and of mentions at any distance."""
+    rng = random.Random(7)
+    for density in (2, 10, 50):
+        rows, parent = [], {}
+        for c in range(density):
+            topic = [f"topic{c}word{i}" for i in range(12)]
+            at = datetime(2024, 1, 1) + timedelta(seconds=rng.random() * 600)
+            for t in range(12):
+                at += timedelta(seconds=20 + rng.random() * 100)
+                key = f"d{density}c{c}t{t}"
+                rows.append((key, str(density), ("user", "assistant")[t % 2], "please check the " + " ".join(rng.sample(topic, 6)), at))
+                if t:
+                    parent[key] = f"d{density}c{c}t{t - 1}"
+        # the owner of an id that is mentioned an hour and a half later
+        rows.append((f"d{density}late", str(density), "user", f"about d{density}c0t1 again", datetime(2024, 1, 1, 1, 30)))
+        parent[f"d{density}late"] = f"d{density}c0t1"
+        links = {r["message_id"]: r["parent_id"] for r in reply_links(read_messages(spark.createDataFrame(rows, MESSAGE)), "conversation_id").collect()}
+        right = sum(links[k] == v for k, v in parent.items())
+        assert right / len(parent) >= 0.9, (density, right / len(parent))
+        assert links[f"d{density}late"] == f"d{density}c0t1"
+
+
 def test_mix_query_is_as_large_as_the_documents_let_it_be(spark, tmp_path):
     docs = [(i, "a", "some words here " * 5) for i in range(400)] + [(1000 + i, "b", "other words " * 4) for i in range(60)] + [(2000, "c", "third")]
     spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
