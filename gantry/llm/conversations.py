@@ -17,9 +17,9 @@ from gantry.session import Scratch
 #: Messages of a channel that one task looks at for the nearest ones before.
 BLOCK = 4096
 #: Weights of the three scores, each between 0 and 1.
-WEIGHTS = {"time": 1.0, "mention": 2.0, "words": 2.0}
+WEIGHTS = {"time": 1.0, "mention": 2.0, "words": 1.5}
 #: Seconds in which the time score halves, and seconds beyond which a shared word says nothing.
-HALF_LIFE, HORIZON = 600.0, 21_600
+HALF_LIFE, HORIZON = 300.0, 21_600
 
 #: Spellings of the three roles.
 _ROLES = {

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_right
+from collections import Counter
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +13,9 @@ from gantry.llm.tokens import VOCABULARY, token_count
 from gantry.operators.skew import distributed_rank
 from gantry.session import Scratch
 
+#: Ranks of one length that meet the runs of packs together.
+BUCKET = 64
+
 
 def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
     """Packing patterns (count, lengths) for length -> count, every length at most the capacity.
@@ -68,20 +69,23 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int,
     return out
 
 
-def slots(patterns: list[tuple[int, list[int]]]) -> tuple[dict[int, tuple[list, list, list]], int]:
-    """For each length the runs of ranks, as (first rank, first container, containers) lists; and the number of containers."""
-    runs: dict[int, tuple[list, list, list]] = {}
+def slots(patterns: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int, int]]:
+    """(length, first rank, ranks, first container, containers): which ranks of a length go to which containers, in turn.
+
+    A pattern's items of one length are one run. A length splits at most one pattern and opens at
+    most two, so there are no more than three patterns a length, each with no more than
+    sqrt(2 * capacity) different lengths.
+    """
+    out = []
     taken: dict[int, int] = {}
     base = 0
     for count, lengths in patterns:
-        for length in lengths:
-            starts, bases, counts = runs.setdefault(length, ([], [], []))
-            starts.append(taken.get(length, 0))
-            bases.append(base)
-            counts.append(count)
-            taken[length] = taken.get(length, 0) + count
+        for length, times in Counter(lengths).items():
+            first = taken.get(length, 0)
+            out.append((length, first, times * count, base, count))
+            taken[length] = first + times * count
         base += count
-    return runs, base
+    return out
 
 
 def pack_documents(documents: DataFrame, windows: list[tuple[str, int]], vocabulary: str = VOCABULARY) -> DataFrame:
@@ -104,23 +108,18 @@ def pack_documents(documents: DataFrame, windows: list[tuple[str, int]], vocabul
         every.append(parts.select(F.lit(name).alias("window_name"), "doc_id", "part_no", (F.col("part_no").cast("long") * capacity).alias("first_token"), length.alias("n_tokens")))
     parts = reduce(DataFrame.unionByName, every)
     counted = parts.groupBy("window_name", "n_tokens").count().collect()
-    table = {}
+    runs = []
     for name, capacity in windows:
         patterns = pack_histogram({r["n_tokens"]: r["count"] for r in counted if r["window_name"] == name}, capacity)
-        table[name] = {k: tuple(map(np.array, v)) for k, v in slots(patterns)[0].items()}
-    shared = spark.sparkContext.broadcast(table)
-    ranked = distributed_rank(parts, ["window_name", "n_tokens"], [F.col("doc_id"), F.col("part_no")], "rank")
-
-    def place(names: pd.Series, lengths: pd.Series, ranks: pd.Series) -> pd.Series:
-        out = np.empty(len(ranks), dtype=np.int64)
-        for i, (name, length, rank) in enumerate(zip(names, lengths, ranks)):
-            starts, bases, _ = shared.value[name][length]
-            run = bisect_right(starts, rank - 1) - 1
-            out[i] = bases[run] + rank - 1 - starts[run]
-        return pd.Series(out)
-
-    container = F.pandas_udf(place, "bigint")("window_name", "n_tokens", "rank")
-    return ranked.select("window_name", container.alias("container_id"), "doc_id", "part_no", "first_token", "n_tokens")
+        runs += [(name, *run) for run in slots(patterns)]
+    ranked = distributed_rank(parts, ["window_name", "n_tokens"], [F.col("doc_id"), F.col("part_no")], "rank").withColumn("rank", F.col("rank") - 1)
+    made = spark.createDataFrame(runs, "window_name string, n_tokens int, first long, ranks long, base long, containers long")
+    # runs meet ranks by bucket, so that no rank is compared with more runs than a bucket has ranks
+    spread = made.withColumn("bucket", F.explode(F.sequence(F.expr(f"first div {BUCKET}"), F.expr(f"(first + ranks - 1) div {BUCKET}"))))
+    met = ranked.withColumn("bucket", F.expr(f"rank div {BUCKET}")).join(spread, ["window_name", "n_tokens", "bucket"])
+    met = met.filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("ranks")))
+    container = F.col("base") + (F.col("rank") - F.col("first")) % F.col("containers")
+    return met.select("window_name", container.alias("container_id"), "doc_id", "part_no", "first_token", "n_tokens")
 
 
 def packing_report(packed: DataFrame, windows: DataFrame) -> DataFrame:

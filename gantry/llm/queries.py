@@ -11,7 +11,7 @@ from gantry.llm.mixing import mix_sources, size_sources
 from gantry.llm.packing import pack_documents, packing_report
 from gantry.llm.parsing import parse_files, parse_rates
 from gantry.llm.provenance import mark_files, provenance_report
-from gantry.llm.ranking import INDIFFERENT, STEPS, STRICT, outranking
+from gantry.llm.ranking import INDIFFERENT, STRICT, outranking
 from gantry.llm.spam import judge_pages
 from gantry.sources.tables import table
 
@@ -120,13 +120,13 @@ SELECT conversation_id, turn_no::INT AS turn_no, id AS message_id FROM o WHERE c
 _P7 = f"""
 WITH f AS (SELECT DISTINCT repository_id, node_id, pagerank, betweenness, symbol_count FROM graph_nodes WHERE node_type = 'file'),
 l AS (SELECT * FROM (SELECT repository_id, node_id, 'p' AS metric, pagerank AS v FROM f UNION ALL SELECT repository_id, node_id, 'b', betweenness FROM f UNION ALL SELECT repository_id, node_id, 's', symbol_count FROM f) WHERE v IS NOT NULL AND NOT isnan(v)),
-p AS (SELECT *, floor((2 * (rank() OVER (PARTITION BY repository_id, metric ORDER BY v) - 1) + count(*) OVER (PARTITION BY repository_id, metric, v)) * {STEPS} / (2.0 * count(*) OVER (PARTITION BY repository_id, metric))) AS at_pct FROM l),
-u AS (SELECT a.repository_id, a.node_id, a.metric, sum(greatest(0, least(1, (a.at_pct - b.at_pct - {INDIFFERENT * STEPS}) / {(STRICT - INDIFFERENT) * STEPS})) - greatest(0, least(1, (b.at_pct - a.at_pct - {INDIFFERENT * STEPS}) / {(STRICT - INDIFFERENT) * STEPS}))) / greatest(count(*) - 1, 1) AS flow
+p AS (SELECT *, (2 * (rank() OVER (PARTITION BY repository_id, metric ORDER BY v) - 1) + count(*) OVER (PARTITION BY repository_id, metric, v)) / (2.0 * count(*) OVER (PARTITION BY repository_id, metric)) AS at_pct FROM l),
+u AS (SELECT a.repository_id, a.node_id, a.metric, sum(greatest(0, least(1, (a.at_pct - b.at_pct - {INDIFFERENT}) / {STRICT - INDIFFERENT})) - greatest(0, least(1, (b.at_pct - a.at_pct - {INDIFFERENT}) / {STRICT - INDIFFERENT}))) / greatest(count(*) - 1, 1) AS flow
   FROM p a JOIN p b ON a.repository_id = b.repository_id AND a.metric = b.metric GROUP BY ALL),
-o AS (SELECT a.repository_id, a.node_id, a.metric, sum(greatest(0, least(1, (a.at_pct - b.at_pct - {INDIFFERENT * STEPS}) / {(STRICT - INDIFFERENT) * STEPS})) - greatest(0, least(1, (b.at_pct - a.at_pct - {INDIFFERENT * STEPS}) / {(STRICT - INDIFFERENT) * STEPS}))) / greatest(count(*) - 1, 1) AS flow
+o AS (SELECT a.repository_id, a.node_id, a.metric, sum(greatest(0, least(1, (a.at_pct - b.at_pct - {INDIFFERENT}) / {STRICT - INDIFFERENT})) - greatest(0, least(1, (b.at_pct - a.at_pct - {INDIFFERENT}) / {STRICT - INDIFFERENT}))) / greatest(count(*) - 1, 1) AS flow
   FROM p a JOIN p b ON a.metric = b.metric GROUP BY ALL),
 us AS (SELECT repository_id, node_id, sum(flow) / 3 AS flow FROM u GROUP BY ALL), os AS (SELECT repository_id, node_id, sum(flow) / 3 AS flow FROM o GROUP BY ALL),
-j AS (SELECT f.*, round(coalesce(us.flow, 0), 9) AS flow, round(coalesce(os.flow, 0), 9) AS overall_flow FROM f LEFT JOIN us USING (repository_id, node_id) LEFT JOIN os USING (repository_id, node_id))
+j AS (SELECT f.*, round(coalesce(us.flow, 0), 9) + 0 AS flow, round(coalesce(os.flow, 0), 9) + 0 AS overall_flow FROM f LEFT JOIN us USING (repository_id, node_id) LEFT JOIN os USING (repository_id, node_id))
 SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY flow DESC, repository_id, node_id) AS unit_rank, row_number() OVER (ORDER BY overall_flow DESC, repository_id, node_id) AS overall_rank FROM j
 """
 

@@ -18,10 +18,10 @@ from gantry.session import Scratch
 
 #: Preference is 0 up to INDIFFERENT and 1 from STRICT on, as differences of percentiles (0 to 1).
 INDIFFERENT, STRICT = 0.02, 0.5
-#: Percentiles are whole numbers of this many steps, so that sums are exact.
-STEPS = 1_000_000
+#: Percentiles are whole numbers of this many steps, so that sums are exact; different values of one scope never share one below 5 * 10**14 items.
+STEPS = 10**15
 #: Blocks of the percentile axis; sums over whole blocks come first, then those within one.
-BLOCK = 1_000
+BLOCKS = 10_000
 
 
 def percentiles(values: DataFrame) -> DataFrame:
@@ -34,32 +34,32 @@ def percentiles(values: DataFrame) -> DataFrame:
     totals = distinct.groupBy("scope", "metric").agg(F.sum("n").alias("total"))
     ranked = distributed_rank(distinct, ["scope", "metric"], [F.col("value")], "_rn", weight="n", total="upto")
     joined = ranked.drop("_rn").join(totals, ["scope", "metric"])
-    at = F.floor((2 * F.col("upto") - F.col("n")) * F.lit(STEPS) / (2 * F.col("total"))).cast("int")
+    at = F.expr(f"((2 * upto - n) * {STEPS}BD) div (2 * total)")  # a decimal times steps: whole numbers throughout
     return joined.select("scope", "metric", "value", "n", at.alias("at"))
 
 
 def net_flows(points: DataFrame) -> DataFrame:
     """scope, metric, at, flow of points(scope, metric, at, n): mean preference over all items less that of all over it."""
-    q, p = int(INDIFFERENT * STEPS), int(STRICT * STEPS)
+    q, p = round(INDIFFERENT * STEPS), round(STRICT * STEPS)
     points = Scratch(points.sparkSession, "flows").write(points.groupBy("scope", "metric", "at").agg(F.sum("n").alias("n")))
-    zero = F.lit(0).cast("long")
+    zero, nothing = F.lit(0).cast("long"), F.lit(0).cast("decimal(38,0)")
     # a probe asks for count and sum of all points up to a place; places are named by what they are for
     probes = points.select("scope", "metric", F.explode(F.array(*[F.struct((F.col("at") + d).alias("place"), F.lit(name).alias("ask"), F.col("at")) for name, d in (("a", -p), ("b", -q), ("c", q), ("d", p))])).alias("x"))
-    probes = probes.select("scope", "metric", "x.place", "x.ask", "x.at", zero.alias("n"), zero.alias("s"))
-    own = points.select("scope", "metric", F.col("at").alias("place"), F.lit(None).cast("string").alias("ask"), "at", "n", (F.col("n") * F.col("at")).alias("s"))
-    rows = own.unionByName(probes).withColumn("block", F.floor(F.col("place") / BLOCK).cast("int"))
+    probes = probes.select("scope", "metric", "x.place", "x.ask", "x.at", zero.alias("n"), nothing.alias("s"))
+    own = points.select("scope", "metric", F.col("at").alias("place"), F.lit(None).cast("string").alias("ask"), "at", "n", (F.col("n").cast("decimal(19,0)") * F.col("at").cast("decimal(18,0)")).cast("decimal(38,0)").alias("s"))
+    rows = own.unionByName(probes).withColumn("block", F.expr(f"place div {STEPS // BLOCKS}"))
     sums = rows.groupBy("scope", "metric", "block").agg(F.sum("n").alias("bn"), F.sum("s").alias("bs"))
-    before = Window.partitionBy("scope", "metric").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 * STEPS / BLOCK rows
-    sums = sums.select("scope", "metric", "block", F.coalesce(F.sum("bn").over(before), zero).alias("n0"), F.coalesce(F.sum("bs").over(before), zero).alias("s0"))
+    before = Window.partitionBy("scope", "metric").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 * BLOCKS rows
+    sums = sums.select("scope", "metric", "block", F.coalesce(F.sum("bn").over(before), zero).alias("n0"), F.coalesce(F.sum("bs").over(before), nothing).alias("s0"))
     # within a block points come before the probes of the same place
     within = Window.partitionBy("scope", "metric", "block").orderBy("place", F.col("ask").asc_nulls_first(), "at").rowsBetween(Window.unboundedPreceding, 0)
     upto = rows.withColumn("n1", F.sum("n").over(within)).withColumn("s1", F.sum("s").over(within)).join(sums, ["scope", "metric", "block"])
-    answer = upto.filter("ask is not null").select("scope", "metric", "at", "ask", (F.col("n0") + F.col("n1")).alias("n"), (F.col("s0") + F.col("s1")).alias("s"))
+    answer = upto.filter("ask is not null").select("scope", "metric", "at", "ask", (F.col("n0") + F.col("n1")).cast("double").alias("n"), (F.col("s0") + F.col("s1")).cast("double").alias("s"))
     pick = lambda ask, c: F.max(F.when(F.col("ask") == ask, F.col(c))).alias(f"{ask}{c}")
     wide = answer.groupBy("scope", "metric", "at").agg(*[pick(a, c) for a in "abcd" for c in ("n", "s")])
     total = points.groupBy("scope", "metric").agg(F.sum("n").alias("total"))
-    at = F.col("at").cast("long")
-    span = p - q
+    at = F.col("at").cast("double")
+    span = float(p - q)
     over = F.col("an") + ((at - q) * (F.col("bn") - F.col("an")) - (F.col("bs") - F.col("as"))) / span
     under = (F.col("total") - F.col("dn")) + ((F.col("ds") - F.col("cs")) - (at + q) * (F.col("dn") - F.col("cn"))) / span
     flow = F.when(F.col("total") > 1, (over - under) / (F.col("total") - 1)).otherwise(0.0)

@@ -1,5 +1,4 @@
 import json
-import math
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -12,7 +11,7 @@ from gantry.llm import queries
 from gantry.llm.conversations import read_messages, rebuild_conversations, reply_links
 from gantry.llm.mixing import entropy, mix_sources, solve_weights
 from gantry.llm.packing import pack_documents, pack_histogram, packing_report
-from gantry.llm.ranking import INDIFFERENT, STEPS, STRICT, outranking
+from gantry.llm.ranking import INDIFFERENT, STRICT, outranking
 from gantry.llm.spam import LINK, NUMBER, TAG, judge_pages, word_pairs
 
 MESSAGE = "id string, conversation_id string, role string, content_json string, created_at timestamp_ntz"
@@ -54,13 +53,13 @@ def test_outranking_equals_all_pairs(spark):
     got = {r["k"]: r for r in outranking(spark.createDataFrame(rows, "u string, k string, s double, t int"), ["k"], "u", {"s": 2.0, "t": 1.0}).collect()}
 
     def percentile(values):
-        return [None if v is None else math.floor((2 * sum(x < v for x in values if x is not None) + sum(x == v for x in values if x is not None)) * STEPS / (2 * sum(x is not None for x in values))) for v in values]
+        return [None if v is None else (2 * sum(x < v for x in values if x is not None) + sum(x == v for x in values if x is not None)) / (2 * sum(x is not None for x in values)) for v in values]
 
     def flow(points, i):
         if points[i] is None:
             return 0.0
         others = [p for j, p in enumerate(points) if j != i and p is not None]
-        prefer = lambda d: min(1.0, max(0.0, (d - INDIFFERENT * STEPS) / ((STRICT - INDIFFERENT) * STEPS)))
+        prefer = lambda d: min(1.0, max(0.0, (d - INDIFFERENT) / (STRICT - INDIFFERENT)))
         return sum(prefer(points[i] - p) - prefer(p - points[i]) for p in others) / len(others) if others else 0.0
 
     everything = {}
