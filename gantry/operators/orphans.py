@@ -15,6 +15,8 @@ from gantry.operators.skew import lookup
 
 #: Bits of a filter per key, probes per key, and the bounds of a filter's size (2**27 bits are 16 MB).
 BITS_PER_KEY, PROBES, LEAST_BITS, MOST_BITS = 10, 4, 1 << 16, 1 << 27
+#: Words of the filter that come to the driver as one row.
+PAGE = 1024
 
 
 def _hash(keys: list[str | Column]) -> Column:
@@ -34,15 +36,20 @@ class BloomFilter:
             bits *= 2
         self.bits = bits
         spots = F.array(*[self._spot(F.col("_h"), i) for i in range(PROBES)])
-        words = (
-            keys.select(_hash(columns).alias("_h"))
-            .select(F.explode(spots).alias("_b"))
-            .groupBy(F.shiftright("_b", 6).alias("word"))
-            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_b").bitwiseAND(F.lit(63)).cast("int"))).alias("mask"))
-        )
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_b").bitwiseAND(F.lit(63)).cast("int"))
+        words = keys.select(_hash(columns).alias("_h")).select(F.explode(spots).alias("_b")).groupBy(F.shiftright("_b", 6).alias("word")).agg(F.bit_or(one).alias("mask"))
+
+        def pack(word: pd.Series, mask: pd.Series) -> bytes:
+            part = np.zeros(PAGE, dtype=np.int64)
+            part[word.to_numpy(dtype=np.int64) % PAGE] = mask.to_numpy(dtype=np.int64)
+            return part.tobytes()
+
+        # the driver takes whole pages, no more bytes than the filter has
+        pages = words.groupBy(F.floor(F.col("word") / PAGE).alias("page")).agg(F.pandas_udf(pack, "binary")("word", "mask").alias("bits"))
         table = np.zeros(bits // 64, dtype=np.int64)
-        found = words.toPandas()
-        table[found["word"].to_numpy(dtype=np.int64)] = found["mask"].to_numpy(dtype=np.int64)
+        for r in pages.collect():
+            at = r["page"] * PAGE
+            table[at : at + PAGE] = np.frombuffer(r["bits"], dtype=np.int64)[: len(table) - at]
         self.shared = keys.sparkSession.sparkContext.broadcast(table)
 
     def _spot(self, hashed: Column, i: int) -> Column:
@@ -83,7 +90,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, removals: DataFrame)
     marked = refs.withColumn("maybe", bloom.might_contain(on))
     definite = marked.filter(~F.col("maybe")).select("ref_id", "side", "scope", "at", F.lit("missing").alias("reason"))
     facts = alive.join(gone, on, "left").withColumn("exists", F.lit(True))
-    judged = lookup(marked.filter("maybe").drop("maybe"), facts, on)
+    judged = lookup(marked.filter("maybe").drop("maybe"), facts, on, hot_from=refs)  # counted without the filter
     reason = (
         F.when(F.col("exists").isNull(), "missing")
         .when((F.col("unknown") == 0) & (F.col("born") > F.col("at")), "late")

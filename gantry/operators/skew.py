@@ -58,13 +58,14 @@ def hot_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFra
     return df.sparkSession.createDataFrame(found, df.select(*keys).schema)
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", rows: int | None = None) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", rows: int | None = None, hot_from: DataFrame | None = None) -> DataFrame:
     """Joins `left` to `right`, which has one row per key; keys that are hot in `left` are salted.
 
     Only the hot keys (a bounded number) are broadcast; their rows of `right` are repeated SALTS
-    times. `keys` must be non-null to match, as in any equi-join.
+    times. `keys` must be non-null to match, as in any equi-join. hot_from: a frame with the keys of
+    `left` that costs less to count, if `left` is dear to compute.
     """
-    hot = hot_keys(left, keys, rows)
+    hot = hot_keys(left if hot_from is None else hot_from, keys, rows)
     if hot is None:
         return left.join(right, keys, how)
     mark = F.broadcast(hot.withColumn("_hot", F.lit(True)))
