@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gantry.operators.skew import distributed_rank
+from gantry.session import Scratch
 
 DAY = 86400.0
 #: Decay times in days, floors and caps of the measures.
@@ -48,6 +49,7 @@ def hotspots(activity: DataFrame) -> DataFrame:
 
     The rank over all files is a single order; it is found by range-partitioned ranks.
     """
+    activity = Scratch(activity.sparkSession, "activity").write(activity)  # counted and ranked
     total = activity.agg(F.count(F.lit(1)).alias("_n"))
     ranked = distributed_rank(activity, [], [F.col("temporal"), F.col("c90"), F.col("path")], "_rank")
     scored = ranked.crossJoin(F.broadcast(total)).withColumn("percentile", F.round((F.col("_rank") - 1) / F.col("_n"), 6)).drop("_rank", "_n")
@@ -121,6 +123,7 @@ def change_risk(features: DataFrame) -> DataFrame:
 
 def mid_rank_percentile(df: DataFrame, value: str, name: str = "percentile") -> DataFrame:
     """Adds 100 * (below + half of the equal) / n; equal values are counted before they are ordered."""
+    df = Scratch(df.sparkSession, "scores").write(df)  # counted, then joined
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     upto = distributed_rank(counts, [], [F.col(value)], "_r", weight="_n", total="_upto").drop("_r")
     total = counts.agg(F.sum("_n").alias("_t"))

@@ -72,11 +72,6 @@ def _people(spark, folder):
 
 
 def identity_fold(spark, folder):
-    """Half of the people, as in its SQL; identity_fold_all has all of them."""
-    return H.fold_identities(_people(spark, folder).filter("key % 4 < 2").drop("key"))
-
-
-def identity_fold_all(spark, folder):
     return H.fold_identities(_people(spark, folder).drop("key"))
 
 
@@ -135,14 +130,14 @@ def hidden_coupling(spark, folder):
     return H.hidden_coupling(pairs, per, linked, least=0.01)
 
 
-QUERIES = {f.__name__: f for f in (file_activity, hotspots, ownership, active_contributors, identity_fold, identity_fold_all, commit_features, author_experience, change_risk, risk_percentile, fix_history, co_change_pairs, change_entropy, co_change_scatter, hidden_coupling)}
+QUERIES = {f.__name__: f for f in (file_activity, hotspots, ownership, active_contributors, identity_fold, commit_features, author_experience, change_risk, risk_percentile, fix_history, co_change_pairs, change_entropy, co_change_scatter, hidden_coupling)}
 
 SQL = {
     "file_activity": _ACTIVITY + " SELECT * FROM activity",
     "hotspots": _ACTIVITY + ", r AS (SELECT *, round((row_number() OVER (ORDER BY temporal, c90, path) - 1) / count(*) OVER (), 6) AS percentile FROM activity) SELECT path, c90, temporal, percentile FROM r WHERE percentile >= 0.75 AND (c90 >= 8 OR (c90 >= 3 AND temporal >= 0.5))",
     "ownership": _OWNERS,
     "active_contributors": f"WITH {FRAMES['commits']}, aged AS (SELECT author, {_age('commits')} AS age FROM commits) SELECT count(DISTINCT CASE WHEN age <= 90 THEN author END) AS active, count(DISTINCT author) AS ever FROM aged",
-    "identity_fold": """WITH p AS (SELECT DISTINCT 'dev' || (c_custkey % 400) AS name, CASE WHEN c_custkey % 3 = 0 THEN c_custkey || '+dev' || (c_custkey % 400) || '@users.noreply.example' ELSE 'dev' || (c_custkey % 400) || '.' || (c_custkey % 5) || '@mail.example' END AS email FROM customer WHERE c_custkey % 4 < 2),
+    "identity_fold": """WITH p AS (SELECT DISTINCT 'dev' || (c_custkey % 400) AS name, CASE WHEN c_custkey % 3 = 0 THEN c_custkey || '+dev' || (c_custkey % 400) || '@users.noreply.example' ELSE 'dev' || (c_custkey % 400) || '.' || (c_custkey % 5) || '@mail.example' END AS email FROM customer),
 real AS (SELECT name, min(email) AS one FROM p WHERE email NOT LIKE '%noreply%' GROUP BY name HAVING count(DISTINCT email) = 1)
 SELECT name, email, CASE WHEN email LIKE '%noreply%' THEN coalesce(one, email) ELSE email END AS canonical FROM p LEFT JOIN real USING (name)""",
     "commit_features": _FEATURES + " SELECT sha, round(la, 4) AS la, round(ld, 4) AS ld, nf, nd, ns, round(entropy, 6) AS entropy FROM features",

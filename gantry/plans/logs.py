@@ -102,20 +102,16 @@ def stream_answered(spark, folder):
 
 
 def import_scan(spark, folder):
-    """The imports of Java and Python files, as in its SQL; import_scan_all has all five languages."""
-    files = table(spark, folder, "source_text").select("repository_id", "node_id", "text").distinct()
-    return R.imports(files.filter("node_id like '%.java' or node_id like '%.py'"))
-
-
-def import_scan_all(spark, folder):
     return R.imports(table(spark, folder, "source_text").select("repository_id", "node_id", "text").distinct()).distinct()
 
 
-QUERIES = {f.__name__: f for f in (fix_attribution, symbol_lines, asof_latest, missing_tests, cost_rollup, savings_rollup, session_fold, rate_limit_windows, correction_pairs, question_demand, result_budget, stream_tumbling, stream_sliding, stream_deduplicated, stream_answered, import_scan, import_scan_all)}
+QUERIES = {f.__name__: f for f in (fix_attribution, symbol_lines, asof_latest, missing_tests, cost_rollup, savings_rollup, session_fold, rate_limit_windows, correction_pairs, question_demand, result_budget, stream_tumbling, stream_sliding, stream_deduplicated, stream_answered, import_scan)}
 
 _S = "s AS (SELECT DISTINCT repository_id || ':' || file_path AS file, symbol_id AS span_id, start_line AS lo, end_line AS hi FROM wiki_symbols WHERE start_line IS NOT NULL AND end_line >= start_line)"
 _W = "(PARTITION BY user_id ORDER BY ts, event_id)"
 
+_JS = r"""(?m)^\s*(?:(?:import|export)\b[^''"`;=()]*?\bfrom\s*|import\s*)[''"]([^''"]+)[''"]|\b(?:require|import)\(\s*[''"]([^''"]+)[''"]\s*\)"""
+
 SQL = {
     "fix_attribution": f"WITH {_S}, e AS (SELECT DISTINCT id, repository_id, source_node_id, unnest(call_lines) AS line FROM graph_edges WHERE edge_type = 'calls'), r AS (SELECT repository_id || ':' || split_part(source_node_id, '::', 1) AS file, id || '@' || line AS range_id, line - 1 AS rlo, line + 1 AS rhi FROM e), p AS (SELECT s.file, range_id, span_id, hi - lo AS size FROM s JOIN r ON r.file = s.file AND lo <= rhi AND rlo <= hi) SELECT file, range_id, span_id FROM p QUALIFY size = min(size) OVER (PARTITION BY range_id)",
     "symbol_lines": f"WITH {_S}, l AS (SELECT DISTINCT file, unnest(range(lo, hi + 1)) AS line FROM s) SELECT file, count(*) AS lines FROM l GROUP BY file",
@@ -131,5 +127,12 @@ SQL = {
     "stream_tumbling": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_sliding": "WITH x AS (SELECT date_trunc('day', ts) AS start FROM events UNION ALL SELECT date_trunc('day', ts) - INTERVAL 1 DAY FROM events) SELECT start::TIMESTAMP AS start, count(*) AS n FROM x GROUP BY ALL",
     "stream_deduplicated": "SELECT DISTINCT event_id, event_type FROM events",
-    "import_scan": r"WITH f AS (SELECT DISTINCT repository_id, node_id, text FROM source_text WHERE node_id LIKE '%.java' OR node_id LIKE '%.py'), x AS (SELECT repository_id, node_id, unnest(list_concat(CASE WHEN node_id LIKE '%.py' THEN regexp_extract_all(text, '(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))', 1) ELSE regexp_extract_all(text, '(?m)^\s*import\s+(?:static\s+)?([\w.]+)()', 1) END, CASE WHEN node_id LIKE '%.py' THEN regexp_extract_all(text, '(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))', 2) ELSE [] END)) AS module FROM f) SELECT DISTINCT * FROM x WHERE len(module) > 0",
+    "import_scan": r"""WITH f AS (SELECT DISTINCT repository_id, node_id, text, regexp_extract(node_id, '\.(\w+)$', 1) AS ext FROM source_text),
+g AS (SELECT repository_id, node_id, unnest(string_split(text, chr(10))) AS line FROM f WHERE ext = 'go'),
+x AS (SELECT repository_id, node_id, unnest(CASE WHEN ext = 'py' THEN list_concat(regexp_extract_all(text, '(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))', 1), regexp_extract_all(text, '(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))', 2))
+  WHEN ext = 'java' THEN regexp_extract_all(text, '(?m)^\s*import\s+(?:static\s+)?([\w.]+)()', 1)
+  WHEN ext IN ('ts', 'tsx', 'mts', 'cts', 'js', 'jsx', 'mjs', 'cjs') THEN list_concat(regexp_extract_all(text, 'JS', 1), regexp_extract_all(text, 'JS', 2)) ELSE [] END) AS module FROM f
+ UNION ALL SELECT repository_id, node_id, regexp_extract(rtrim(line, chr(13)), '^\s*(?:import\s*\(?\s*)?(?:[\w.]+\s+)?["`]([\w./~-]+)["`]\s*;?\s*\)?\s*(?://.*)?$', 1) FROM g WHERE NOT regexp_matches(line, '^\s*return\b'))
+SELECT DISTINCT * FROM x WHERE len(module) > 0""".replace("JS", _JS),
+    "stream_answered": "WITH e AS (SELECT user_id, event_id, event_type, lag(event_type) OVER w AS before, lag(event_id) OVER w AS asked FROM events WHERE event_type IN ('error', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, asked, event_id AS answered FROM e WHERE event_type = 'purchase' AND before = 'error'",
 }

@@ -48,7 +48,7 @@ def test_identities_fold_only_onto_a_single_address(spark):
 def test_all_people_are_folded(spark, tmp_path):
     spark.range(1, 801).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
     want = {(f"dev{k % 400}", f"{k}+dev{k % 400}@users.noreply.example" if k % 3 == 0 else f"dev{k % 400}.{k % 5}@mail.example") for k in range(1, 801)}
-    assert {(r["name"], r["email"]) for r in HP.identity_fold_all(spark, str(tmp_path)).collect()} == want
+    assert {(r["name"], r["email"]) for r in HP.identity_fold(spark, str(tmp_path)).collect()} == want
 
 
 def test_imports_of_all_languages(spark, tmp_path):
@@ -58,7 +58,7 @@ def test_imports_of_all_languages(spark, tmp_path):
     texts["m.py"] = ("import a.b\nfrom c import d\n", {"a.b", "c"})
     texts["M.java"] = ("import static a.B.c;\nimport d.E;\n", {"a.B.c", "d.E"})
     spark.createDataFrame([("r", n, t) for n, (t, _) in texts.items()], "repository_id string, node_id string, text string").write.parquet(str(tmp_path / "source_text.parquet"))
-    got = sorted((r["node_id"], r["module"]) for r in L.import_scan_all(spark, str(tmp_path)).collect())
+    got = sorted((r["node_id"], r["module"]) for r in L.import_scan(spark, str(tmp_path)).collect())
     assert got == sorted((n, m) for n, (_, ms) in texts.items() for m in ms)
 
 
