@@ -41,7 +41,7 @@ def commit_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     body = raw.select(head[0].alias("sha"), F.explode(F.slice(F.split("value", "\n"), 2, 2**30)).alias("row")).filter(F.col("row").rlike(r"^(\d+|-)\t(\d+|-)\t"))
     parts = F.split("row", "\t")
     name = F.regexp_replace(F.regexp_replace(F.regexp_replace(parts[2], r"\{[^{}]* => ([^{}]*)\}", "$1"), r"^.* => ", ""), "//", "/")
-    number = lambda c: F.coalesce(F.expr("try_cast(x as int)") if False else F.when(c == "-", 0).otherwise(c.cast("int")), F.lit(0))
+    number = lambda c: F.coalesce(F.when(c == "-", 0).otherwise(c.try_cast("int")), F.lit(0))
     return commits, body.select("sha", name.alias("path"), number(parts[0]).alias("added"), number(parts[1]).alias("deleted"))
 
 
