@@ -107,7 +107,8 @@ def commit_features(changes: DataFrame, parts: DataFrame) -> DataFrame:
 
 def author_experience(commits: DataFrame) -> DataFrame:
     """Adds exp: commits of the same author before this one, by time and sha."""
-    return commits.withColumn("exp", F.row_number().over(Window.partitionBy("author").orderBy("ts", "sha")) - 1)
+    ranked = distributed_rank(commits, ["author"], [F.col("ts"), F.col("sha")], "exp")  # an author of any size, as a bot
+    return ranked.withColumn("exp", F.col("exp") - 1)
 
 
 def change_risk(features: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gantry.operators.skew import distributed_rank
+
 
 def rollup(ledger: DataFrame, by: list[str], amount: str) -> DataFrame:
     """Entries, sum and mean of an amount per group, nulls as 0."""
@@ -40,5 +42,5 @@ def top_per_group(df: DataFrame, group: list[str], order: list, k: int) -> DataF
 
 def within_budget(items: DataFrame, group: str, size: str, order: list, budget: int) -> DataFrame:
     """The rows of each group, in order, whose running size stays within the budget."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("used", F.sum(size).over(w)).filter(F.col("used") <= budget)
+    ranked = distributed_rank(items, [group], [F.col(c) if isinstance(c, str) else c for c in order], "_place", weight=size, total="used")
+    return ranked.drop("_place").filter(F.col("used") <= budget)

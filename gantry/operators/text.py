@@ -154,43 +154,61 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm(a) * norm(b) > 0, dot / (norm(a) * norm(b))).otherwise(0.0)
 
 
+#: Vectors that travel as one block.
+BLOCK = 2048
+
+
+def _blocks(vectors: DataFrame, scratch: Scratch) -> DataFrame:
+    """ids, data: vectors of one length packed to blocks of at most BLOCK, scaled to length 1; null vectors are left out."""
+    import numpy as np
+    import pyarrow as pa
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                v = np.array(part["embedding"].to_pylist(), dtype=np.float64)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                yield pa.RecordBatch.from_arrays([pa.array([part["vec_id"].to_pylist()], pa.list_(pa.int64())), pa.array([v.tobytes()], pa.binary())], ["ids", "data"])
+
+    return scratch.write(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id is not null and embedding is not null").mapInArrow(pack, "ids array<bigint>, data binary"))
+
+
 def cosine_top(queries: DataFrame, vectors: DataFrame, k: int, low: float = -1.0, high: float = 2.0) -> DataFrame:
     """query_id, vec_id, similarity, rank: for each query the k nearest other vectors with low <= similarity < high.
 
-    The queries are a stated set against all rows: they are collected in blocks of a bounded size,
-    each block is multiplied with the partitions of the vectors, and every partition keeps only its
-    own k nearest per query before the final ranking.
+    The queries are a stated set against all rows: both sides are tables of packed blocks, each block
+    of queries meets each block of vectors on the executors, and a task keeps only the k nearest it
+    has seen for each of its queries before the final ranking. Nothing comes to the driver. Ties go
+    to the smaller vec_id; null vectors take no part.
     """
     import numpy as np
-    import pandas as pd
-
-    block_rows = 4096
-    asked = [(r["vec_id"], r["embedding"]) for r in queries.select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()]
-    blocks = [asked[i : i + block_rows] for i in range(0, len(asked), block_rows)]
-    out = None
-    for block in blocks:
-        ids = np.array([i for i, _ in block], dtype=np.int64)
-        q = np.array([v for _, v in block], dtype=np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def nearest(batches, ids=ids, q=q):
-            for batch in batches:
-                v = np.array(batch["embedding"].tolist(), dtype=np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                own = batch["vec_id"].to_numpy()
-                sims = np.round(q @ v.T, 6)
-                sims[(sims < low) | (sims >= high) | (ids[:, None] == own[None, :])] = -9.0
-                top = np.lexsort((np.broadcast_to(own, sims.shape), -sims), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), top.shape[1])
-                picked = pd.DataFrame({"query_id": ids[rows], "vec_id": own[top.ravel()], "similarity": sims[rows, top.ravel()]})
-                yield picked[picked["similarity"] > -9.0]
-
-        part = vectors.select("vec_id", "embedding").mapInPandas(nearest, "query_id bigint, vec_id bigint, similarity double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("similarity"), F.lit(1).alias("rank")).limit(0)
+    import pyarrow as pa
+
+    scratch = Scratch(vectors.sparkSession, "vectors")
+    asked = _blocks(queries, scratch).select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    held = _blocks(vectors, scratch)
+
+    def nearest(batches):
+        best: dict[tuple, tuple] = {}
+        for batch in batches:
+            for q_ids, q_data, ids, data in zip(*[batch[c].to_pylist() for c in ("q_ids", "q_data", "ids", "data")]):
+                asks, own = np.array(q_ids, np.int64), np.array(ids, np.int64)
+                sims = np.round(np.frombuffer(q_data).reshape(len(asks), -1) @ np.frombuffer(data).reshape(len(own), -1).T, 6)
+                sims[(sims < low) | (sims >= high) | (asks[:, None] == own[None, :])] = -9.0
+                key = tuple(q_ids)
+                names = np.broadcast_to(own, sims.shape)
+                if key in best:
+                    names, sims = np.hstack([best[key][0], names]), np.hstack([best[key][1], sims])
+                top = np.lexsort((names, -sims), axis=1)[:, :k]
+                best[key] = np.take_along_axis(names, top, 1), np.take_along_axis(sims, top, 1)
+        for key, (names, sims) in best.items():
+            kept = sims > -9.0
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(key, np.int64), kept.sum(1))), pa.array(names[kept]), pa.array(sims[kept])], ["query_id", "vec_id", "similarity"])
+
+    found = held.crossJoin(asked).mapInArrow(nearest, "query_id bigint, vec_id bigint, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def fuse(rankings: list[DataFrame], key: str) -> DataFrame:
