@@ -12,7 +12,7 @@ from gantry.llm.packing import pack_documents, packing_report
 from gantry.llm.parsing import parse_files, parse_rates
 from gantry.llm.provenance import mark_files, provenance_report
 from gantry.llm.ranking import INDIFFERENT, STRICT, outranking
-from gantry.llm.spam import judge_pages
+from gantry.llm.spam import _LINK, COLLOCATION_PAIRS, DEVIATIONS, FEW, LEAST_BIN, LEAST_GAP, LEAST_PAIRS, MARKED_DEVIATIONS, MARKED_SHARE, MOST_BIN, ONE_COLLOCATION, UNSEEN, judge_pages
 from gantry.sources.tables import table
 
 
@@ -99,7 +99,8 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Information, repetition and list shares of every page, with the verdict."""
-    return judge_pages(table(spark, folder, "documents").select("doc_id", "text"))
+    scores = judge_pages(table(spark, folder, "documents").select("doc_id", "text"))
+    return scores.select("doc_id", "pairs", "word_pairs", *[F.round(c, 6).alias(c) for c in ("normalised", "gap", "deviation", "repeated")], "spam")
 
 
 QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_rates": p4_rates, "p6_found": p6_found, "p6_threads": p6_threads, "p7_rank": p7_rank, "p8_pack": p8_pack, "p8_report": p8_report, "p9_mix": p9_mix, "p9_exact": p9_exact, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
@@ -130,5 +131,25 @@ j AS (SELECT f.*, round(coalesce(us.flow, 0), 9) + 0 AS flow, round(coalesce(os.
 SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY flow DESC, repository_id, node_id) AS unit_rank, row_number() OVER (ORDER BY overall_flow DESC, repository_id, node_id) AS overall_rank FROM j
 """
 
+_P10 = f"""
+WITH d AS (SELECT doc_id, text, md5(text) AS h FROM documents), t AS (SELECT DISTINCT h, text FROM d WHERE text IS NOT NULL),
+w AS (SELECT h, regexp_extract_all(regexp_replace(lower(regexp_replace(text, '<[^>\n]*>', ' ', 'g')), '{_LINK.replace("++", "+")}', ' ' || chr(1) || ' ', 'g'), '\x01|#[\p{{L}}\p{{N}}_]+|[\p{{L}}\p{{N}}_]+') AS w FROM t),
+m AS (SELECT h, list_transform(w, lambda x: CASE WHEN starts_with(x, '#') THEN chr(2) WHEN regexp_matches(x, '^\p{{N}}') THEN chr(3) ELSE x END) AS w FROM w),
+p AS (SELECT h, unnest(w[:-2]) AS x, unnest(w[2:]) AS y FROM m WHERE len(w) > 1),
+r AS (SELECT h, x, y, count(*) AS n FROM p GROUP BY ALL), c AS (SELECT x, y, sum(n) AS c FROM r GROUP BY ALL),
+cx AS (SELECT x, sum(c) AS cx FROM c GROUP BY ALL), cy AS (SELECT y, sum(c) AS cy FROM c GROUP BY ALL), tot AS (SELECT sum(c) AS m FROM c),
+s AS (SELECT r.*, NOT (ord(r.x) < 4 OR ord(r.y) < 4) AS word, greatest(c - n, 0) + {UNSEEN} AS o, cx::DOUBLE AS cx, cy::DOUBLE AS cy, m::DOUBLE AS m FROM r JOIN c USING (x, y) JOIN cx USING (x) JOIN cy USING (y), tot),
+f AS (SELECT h, sum(n)::BIGINT AS pairs, coalesce(sum(n) FILTER (word), 0)::BIGINT AS word_pairs, sum(n * ln(o * m / (cx * cy)) / -ln(o / m)) FILTER (word) / sum(n) FILTER (word) AS normalised, max(n) / sum(n) AS repeated FROM s GROUP BY ALL),
+z AS (SELECT *, CASE WHEN word_pairs > 0 THEN greatest(least(floor(log2(word_pairs)), {MOST_BIN}), {LEAST_BIN}) END AS size FROM f),
+j AS (SELECT * FROM z WHERE pairs >= {LEAST_PAIRS} AND size IS NOT NULL),
+b AS (SELECT size, count(*) >= {FEW} AS enough, CASE WHEN count(*) >= {FEW} THEN quantile_disc(normalised, 0.5) ELSE (SELECT quantile_disc(normalised, 0.5) FROM j) END AS median FROM j GROUP BY size),
+a AS (SELECT j.size, enough, abs(normalised - median) AS away FROM j JOIN b USING (size)),
+k AS (SELECT size, 1.4826 * CASE WHEN any_value(enough) THEN quantile_disc(away, 0.5) ELSE (SELECT quantile_disc(away, 0.5) FROM a) END AS deviation FROM a GROUP BY size),
+v AS (SELECT z.*, median - normalised AS gap, deviation FROM z LEFT JOIN b USING (size) LEFT JOIN k USING (size))
+SELECT doc_id, coalesce(pairs, 0) AS pairs, coalesce(word_pairs, 0) AS word_pairs, round(normalised, 6) AS normalised, round(gap, 6) AS gap, round(deviation, 6) AS deviation, round(repeated, 6) AS repeated,
+  coalesce(pairs >= {LEAST_PAIRS} AND (coalesce(gap > {LEAST_GAP} AND gap > deviation * CASE WHEN 1 - word_pairs / pairs > {MARKED_SHARE} THEN {MARKED_DEVIATIONS} ELSE {DEVIATIONS} END, false) OR (repeated > {ONE_COLLOCATION} AND pairs >= {COLLOCATION_PAIRS})), false) AS spam
+FROM d LEFT JOIN v USING (h)
+"""
+
 #: The others can't be said in SQL; tests compare them with brute force.
-SQL: dict[str, str] = {"p6_found": _P6, "p7_rank": _P7}
+SQL: dict[str, str] = {"p6_found": _P6, "p7_rank": _P7, "p10_scores": _P10, "p10_found": f"SELECT doc_id FROM ({_P10}) WHERE spam"}
