@@ -12,7 +12,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gantry.operators.skew import lookup
+from gantry.operators.skew import distributed_rank, lookup
 from gantry.session import Scratch
 
 #: Damping of PageRank, edge origins that executions don't follow, least confidence they do.
@@ -273,25 +273,23 @@ def override_dispatch(methods: DataFrame, ancestors: DataFrame) -> DataFrame:
     return impl.join(base, ["scope", "ancestor", "name"]).select("scope", "base", F.col("node").alias("impl")).distinct()
 
 
-#: Above so many nodes in a scope, betweenness takes this many sources, in the order of their hashes.
-EXACT_NODES, SAMPLED_SOURCES = 30_000, 500
-
-
-def betweenness(edges: DataFrame) -> DataFrame:
+def betweenness(edges: DataFrame, sample: int | None = None) -> DataFrame:
     """scope, node, betweenness: Brandes' sums over shortest paths, for all sources of a scope at once.
 
     Waves of a breadth-first search count the paths forward, the same waves backward give each node
-    its dependency. Scaled by (n - 1)(n - 2), and by the share of sources where a large scope is
-    sampled. The state has a row per source and reached node; scopes up to EXACT_NODES are exact.
+    its dependency. Scaled by (n - 1)(n - 2). The state has a row per source and reached
+    node. Exact for every scope; with `sample`, scopes of more nodes count from that many hashed
+    sources, scaled up.
     """
     scratch = Scratch(edges.sparkSession, "betweenness")
     step = scratch.write(edges.filter("src <> dst").select("scope", "src", "dst").distinct())
     nodes = scratch.write(nodes_of(edges))
     sizes = nodes.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("scope").orderBy(F.xxhash64("scope", "node"), "node")
-    large = sizes.filter(F.col("n") > EXACT_NODES).select("scope")
-    sampled = nodes.join(large, "scope").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= SAMPLED_SOURCES).select("scope", "node")
-    sources = nodes.join(large, "scope", "left_anti").unionByName(sampled)
+    sources = nodes
+    if sample is not None:
+        large = sizes.filter(F.col("n") > sample).select("scope")
+        ranked = distributed_rank(nodes.join(large, "scope"), ["scope"], [F.xxhash64("scope", "node"), F.col("node")], "rn")
+        sources = nodes.join(large, "scope", "left_anti").unionByName(ranked.filter(F.col("rn") <= sample).select("scope", "node"))
     waves = [scratch.write(sources.select("scope", F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
     while True:
         met = waves[-1].join(step.withColumnRenamed("src", "node"), ["scope", "node"]).groupBy("scope", "source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
@@ -312,7 +310,7 @@ def betweenness(edges: DataFrame) -> DataFrame:
         return nodes.withColumn("betweenness", F.lit(0.0))
     total = reduce(DataFrame.unionByName, parts).groupBy("scope", "node").agg(F.sum("delta").alias("delta"))
     n = F.col("n")
-    asked = F.when(n > EXACT_NODES, F.lit(SAMPLED_SOURCES)).otherwise(n)
+    asked = n if sample is None else F.least(n, F.lit(sample))
     scaled = F.when(n > 2, F.coalesce("delta", F.lit(0.0)) * (n / asked) / ((n - 1) * (n - 2))).otherwise(0.0)
     return nodes.join(sizes, "scope").join(total, ["scope", "node"], "left").select("scope", "node", F.round(scaled, 9).alias("betweenness"))
 
