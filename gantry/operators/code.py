@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from gantry.functions.facts import go_hits, python_facts, script_hits, sql_hits
 from gantry.operators.health import class_detectors, find, function_detectors
 from gantry.operators.skew import lookup
+from gantry.session import Scratch
 
 _KEY = ["repository_id", "node_id"]
 _FUNCTION = {"name": pa.string(), "start": pa.int32(), "end": pa.int32(), "ccn": pa.int32(), "nloc": pa.int32(), "nesting": pa.int32(), "bumps": pa.int32(), "params": pa.int32(), "is_async": pa.bool_(), "assertions": pa.int32()}
@@ -128,25 +132,65 @@ _TOKEN = r"[A-Za-z_$][A-Za-z0-9_$]*|\d[A-Za-z0-9_.]*|\"(?:[^\"\\\n]|\\.)*+\"|'(?
 _KEPT_WORDS = "and as assert async await break case catch class const continue def default del do elif else except export extends false finally for from func function go if implements import in interface is lambda let new none not null or package pass private protected public raise range return self static struct super switch this throw true try type var void while with yield"
 
 
+_WORDS_KEPT = frozenset(_KEPT_WORDS.split())
+_CODE_TOKEN = re.compile(r"\n|" + _TOKEN)
+_NOTE_LINE = re.compile(r"^[ \t]*(?:#|//|\*|/\*).*$", re.M)
+_POWER = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _TokenIds(dict):
+    """Token -> a number for what it is normalised to; a line break is 0. Emptied when it grows too large, which changes nothing."""
+
+    def __missing__(self, token: str) -> int:
+        plain = token.lower()
+        kind = "0" if token[0] in "\"'0123456789" else "n" if (token[0].isalpha() or token[0] in "_$") and plain not in _WORDS_KEPT else plain
+        found = 0 if token == "\n" else int.from_bytes(hashlib.blake2b(kind.encode(), digest_size=8).digest(), "little") | 1
+        if len(self) > 200_000:
+            self.clear()
+        self[token] = found
+        return found
+
+
+_IDS = _TokenIds()
+
+
+def clone_windows(text: str, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the windows of normalised tokens of a text, and the lines (from 0) of their first and last tokens."""
+    tokens = _CODE_TOKEN.findall(_NOTE_LINE.sub("", text.replace("\r\n", "\n").replace("\r", "\n")))
+    ids = np.fromiter(map(_IDS.__getitem__, tokens), np.uint64, len(tokens))
+    ends = ids == 0
+    lines, ids = np.cumsum(ends)[~ends], ids[~ends]
+    n = len(ids) - window + 1
+    if n < 1:
+        none = np.empty(0, np.int64)
+        return none, none, none
+    hashes = np.zeros(n, np.uint64)
+    for j in range(window):
+        hashes = hashes * _POWER + ids[j : j + n]
+    hashes ^= hashes >> np.uint64(29)
+    return (hashes * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64), lines[:n], lines[window - 1 :]
+
+
 def clone_spans(files: DataFrame, window: int = CLONE_TOKENS) -> DataFrame:
     """repository_id, node_id, start_line, end_line, class_id, members: stretches of code that occur more than once.
 
-    Tokens are normalised (names become one, literals another), each window of `window` tokens is
-    hashed, and windows with a hash of more than one place are merged to stretches by islands. The
-    class of a stretch is the place of the first window like its first one; members counts those
+    Tokens are normalised (names become one, literals another), each window of `window` tokens gets a
+    rolling hash, and windows with a hash of more than one place are merged to stretches by islands.
+    The class of a stretch is the place of the first window like its first one; members counts those
     places. No pair is formed and no bucket is cut off. Texts shorter than a window have no clone.
     """
-    one = latest(files).filter("text is not null")
-    lines = one.select(*_KEY, F.posexplode(F.split("text", r"\r\n?|\n")).alias("line", "text"))
-    words = F.array(*[F.lit(w) for w in _KEPT_WORDS.split()])
-    norm = lambda t: F.when(t.rlike(r"^[\"'0-9]"), "0").when(t.rlike(r"^[A-Za-z_$]") & ~F.array_contains(words, F.lower(t)), "n").otherwise(F.lower(t))
-    code = F.regexp_replace("text", r"^\s*(?:#|//|\*|/\*).*$", "")
-    tokens = lines.select(*_KEY, "line", F.transform(F.regexp_extract_all(code, F.lit(_TOKEN), F.lit(0)), norm).alias("t")).filter("size(t) > 0")
-    whole = tokens.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("line", "t"))).alias("rows"))  # one file
-    flat = whole.select(*_KEY, F.flatten(F.col("rows.t")).alias("t"), F.flatten(F.transform("rows", lambda r: F.array_repeat(r["line"], F.size(r["t"])))).alias("at"))
-    hashes = flat.filter(F.size("t") >= window).select(*_KEY, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - window + 1), lambda i: F.struct(
-        F.xxhash64(F.array_join(F.slice("t", i, window), " ")).alias("hash"), F.element_at("at", i).alias("first"), F.element_at("at", i + window - 1).alias("last")))).alias("i", "w"))
-    places = hashes.select(*_KEY, "i", "w.*")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [clone_windows(t, window) for t in batch["text"].to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32)
+            fields = [pa.array(np.concatenate([f[i] for f in found]) if found else [], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64()))]
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, ["hash", "first", "last"]))
+            yield pa.RecordBatch.from_arrays([batch["repository_id"], batch["node_id"], lists], [*_KEY, "windows"])
+
+    schema = "repository_id string, node_id string, windows array<struct<hash: bigint, first: bigint, last: bigint>>"
+    hashes = latest(files).filter("text is not null").mapInArrow(read, schema).select(*_KEY, F.posexplode("windows").alias("i", "w"))
+    places = Scratch(files.sparkSession, "clones").write(hashes.select(*_KEY, "i", "w.*"))  # counted, then joined
     repeated = places.groupBy("hash").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(*_KEY, "i")).alias("home")).filter("members > 1")
     shared = lookup(places, repeated, ["hash"], "inner")
     order = Window.partitionBy(*_KEY).orderBy("i")
@@ -155,7 +199,7 @@ def clone_spans(files: DataFrame, window: int = CLONE_TOKENS) -> DataFrame:
     island = shared.withColumn("new", step.cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = island.groupBy(*_KEY, "island").agg(F.min("first").alias("a"), F.max("last").alias("b"), F.min_by("home", "i").alias("home"), F.min_by("members", "i").alias("members"))
     class_id = F.concat_ws(":", "home.repository_id", "home.node_id", F.col("home.i").cast("string"))
-    return spans.filter(F.col("b") - F.col("a") + 1 >= CLONE_LINES).select(*_KEY, (F.col("a") + 1).alias("start_line"), (F.col("b") + 1).alias("end_line"), class_id.alias("class_id"), "members")
+    return spans.filter(F.col("b") - F.col("a") + 1 >= CLONE_LINES).select(*_KEY, (F.col("a") + 1).cast("int").alias("start_line"), (F.col("b") + 1).cast("int").alias("end_line"), class_id.alias("class_id"), "members")
 
 
 def duplication(spans: DataFrame, files: DataFrame) -> DataFrame:
