@@ -74,7 +74,7 @@ def _befores(facts: Column, window) -> list[Column]:
 
 
 def reply_links(messages: DataFrame, channel: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """Adds rn (rank in the channel by time), parent_id and parent_rn, the likeliest message replied to.
+    """Adds rn (rank in the channel by time) and parent_rn, that of the likeliest message replied to.
 
     A message of the user or of the assistant replies to the other side, or to a system message;
     others only to a system message. Candidates are the nearest fitting message before, however
@@ -83,15 +83,15 @@ def reply_links(messages: DataFrame, channel: str, weights: dict[str, float] = W
     word counts for its candidate by the inverse root of the number of messages that have it at that
     time, as a share of all the message's words. So each message has no more candidates than words,
     and no pair of messages is formed; an earlier message can't win by a word that a later one has
-    too. Without a candidate parent_id is null. Messages without a time come last in their channel,
+    too. Without a candidate parent_rn is null. Messages without a time come last in their channel,
     have no parent and are none. Ties go to the nearer message.
     """
     scratch = Scratch(messages.sparkSession, "links")
     keyed = messages.filter(F.col(channel).isNotNull())
     ranked = scratch.write(distributed_rank(keyed, [channel], [F.col("at").asc_nulls_last(), F.col("turn_rank"), F.col("message_id")], "rn"))
-    facts = F.struct("rn", "at", "message_id")
+    facts = F.struct("rn", "at")
     # the nearest before: within blocks of a channel, then what the blocks before left
-    blocks = ranked.select(channel, "rn", "role", "at", "message_id", F.floor((F.col("rn") - 1) / BLOCK).alias("block"))
+    blocks = ranked.select(channel, "rn", "role", "at", F.floor((F.col("rn") - 1) / BLOCK).alias("block"))
     near = blocks.select("*", *_befores(facts, Window.partitionBy(channel, "block").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)))
     left = blocks.filter(F.col("at").isNotNull()).groupBy(channel, "block").agg(*[
         F.max(F.when(c, facts)).alias(k) for k, c in (("to_user", F.col("role").isin("assistant", "system")), ("to_assistant", F.col("role").isin("user", "system")), ("to_other", F.col("role") == "system"))
@@ -101,7 +101,7 @@ def reply_links(messages: DataFrame, channel: str, weights: dict[str, float] = W
     near = near.join(left, [channel, "block"], "left").select(channel, "rn", "at", F.coalesce(_of_side(), _of_side("old_")).alias("c"), F.lit(0.0).alias("w"), F.lit(0).alias("m"))
     # shared words: windows over the messages of one word in one stretch of time and the stretch before
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 3))
-    told = ranked.filter(F.col("at").isNotNull()).select(channel, "rn", "role", "at", "message_id", F.floor(F.col("at").cast("double") / HORIZON).alias("stretch"), F.explode(words).alias("word"))
+    told = ranked.filter(F.col("at").isNotNull()).select(channel, "rn", "role", "at", F.floor(F.col("at").cast("double") / HORIZON).cast("int").alias("stretch"), F.explode(F.transform(words, lambda w: F.xxhash64(w))).alias("word"))
     shown = told.withColumn("seen", F.explode(F.array(F.col("stretch"), F.col("stretch") + 1)))
     group = Window.partitionBy(channel, "word", "seen")
     rarity = 1 / F.sqrt(F.count(F.lit(1)).over(group))
@@ -109,10 +109,10 @@ def reply_links(messages: DataFrame, channel: str, weights: dict[str, float] = W
     c = _of_side()
     votes = voted.select(channel, "rn", "at", F.when(c["at"].cast("double") >= F.col("at").cast("double") - HORIZON, c).alias("c"), "w", F.lit(0).alias("m"))
     # mentions of ids, at any distance
-    owned = ranked.filter(F.col("at").isNotNull()).select(channel, F.explode(F.array_union(F.array("message_id"), F.coalesce("call_ids", F.array().cast("array<string>")))).alias("token"), "role", facts.alias("c"))
-    owned = owned.filter("token is not null").groupBy(channel, "token").agg(F.min_by(F.struct("role", "c"), "c").alias("o")).select(channel, "token", F.col("o.role").alias("o_role"), "o.c")
+    owned = ranked.filter(F.col("at").isNotNull()).select(channel, F.explode(F.array_union(F.array("message_id"), F.coalesce("call_ids", F.array().cast("array<string>")))).alias("name"), "role", facts.alias("c"))
+    owned = owned.filter("name is not null").withColumn("token", F.xxhash64("name")).groupBy(channel, "token").agg(F.min_by(F.struct("role", "c"), "c").alias("o")).select(channel, "token", F.col("o.role").alias("o_role"), "o.c")
     tokens = F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}_-]+"))
-    named = ranked.filter(F.col("at").isNotNull()).select(channel, "rn", "role", "at", F.explode(tokens).alias("token"))
+    named = ranked.filter(F.col("at").isNotNull()).select(channel, "rn", "role", "at", F.explode(F.transform(tokens, lambda t: F.xxhash64(t))).alias("token"))
     fits = (F.col("o_role") == "system") | (F.col("role").isin("user", "assistant") & F.col("o_role").isin("user", "assistant") & (F.col("role") != F.col("o_role")))
     met = lookup(named, owned, [channel, "token"], "inner").filter(fits & (F.col("c.rn") < F.col("rn")))
     mentions = met.select(channel, "rn", "at", "c", F.lit(0.0).alias("w"), F.lit(1).alias("m"))
@@ -120,10 +120,16 @@ def reply_links(messages: DataFrame, channel: str, weights: dict[str, float] = W
     share = F.col("w") / F.greatest(F.sum("w").over(Window.partitionBy(channel, "rn")), F.lit(1e-9))
     time = F.pow(F.lit(0.5), F.greatest(F.col("at").cast("double") - F.col("c.at").cast("double"), F.lit(0.0)) / HALF_LIFE)
     scored = every.withColumn("score", weights["time"] * time + weights["mention"] * F.col("m") + weights["words"] * share).filter("c is not null and at is not null")
-    best = scored.groupBy(channel, "rn").agg(F.max_by("c", F.struct("score", "c.rn")).alias("c")).select(channel, "rn", F.col("c.message_id").alias("parent_id"), F.col("c.rn").alias("parent_rn"))
+    best = scored.groupBy(channel, "rn").agg(F.max_by("c", F.struct("score", "c.rn")).alias("c")).select(channel, "rn", F.col("c.rn").alias("parent_rn"))
     return ranked.join(best, [channel, "rn"], "left")
 
 
+def with_parents(linked: DataFrame, channel: str) -> DataFrame:
+    """Adds parent_id, the message_id of parent_rn, to the rows of reply_links."""
+    names = linked.select(channel, F.col("rn").alias("parent_rn"), F.col("message_id").alias("parent_id"))
+    return linked.join(names, [channel, "parent_rn"], "left")
+
+
 def rebuild_conversations(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     """conversation_id, turn_no, message_id, role, text: the messages of the kept conversations in order.
 
@@ -139,7 +145,7 @@ def rebuild_conversations(messages: DataFrame, conversations: DataFrame) -> Data
     sound = F.col("at").isNotNull() & role.isNotNull() & (speaks | ((role == "assistant") & (F.col("calls") > 0))) & (F.col("open_calls") == 0)
     system, odd = role == "system", F.col("rn") % 2 == 1
     facts = linked.groupBy("conversation_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(sound).alias("sound"), F.count_if(F.col("parent_id").isNull()).alias("roots"), F.count_if(system).alias("systems"),
+        F.count(F.lit(1)).alias("n"), F.count_if(sound).alias("sound"), F.count_if(F.col("parent_rn").isNull()).alias("roots"), F.count_if(system).alias("systems"),
         F.max(F.when(system, F.col("rn"))).alias("last_system"), F.count_if(role == "user").alias("users"), F.count_if(role == "assistant").alias("assistants"),
         F.count_if((role == "user") & odd).alias("users_odd"), F.count_if((role == "assistant") & odd).alias("assistants_odd"),
     )
@@ -159,6 +165,6 @@ def channel_threads(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     """
     where = conversations.filter("id is not null").groupBy(F.col("id").alias("conversation_id")).agg(F.max("repository_id").alias("repository_id"))
     read = read_messages(messages).join(where, "conversation_id")
-    linked = reply_links(read, "repository_id")
+    linked = with_parents(Scratch(messages.sparkSession, "links").write(reply_links(read, "repository_id")), "repository_id")
     tree = resolve_hierarchy(linked.select(F.col("repository_id").alias("scope"), F.col("message_id").alias("child"), F.col("parent_id").alias("parent")))
     return linked.select("message_id", "repository_id", "conversation_id", "parent_id").join(tree.select(F.col("node").alias("message_id"), "root_id", "depth"), "message_id")

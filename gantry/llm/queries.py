@@ -133,8 +133,8 @@ SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY flow DESC, repo
 
 _P10 = f"""
 WITH d AS (SELECT doc_id, text, md5(text) AS h FROM documents), t AS (SELECT DISTINCT h, text FROM d WHERE text IS NOT NULL),
-w AS (SELECT h, regexp_extract_all(regexp_replace(lower(regexp_replace(text, '<[^>\n]*>', ' ', 'g')), '{_LINK.replace("++", "+")}', ' ' || chr(1) || ' ', 'g'), '\x01|#[\p{{L}}\p{{N}}_]+|[\p{{L}}\p{{N}}_]+') AS w FROM t),
-m AS (SELECT h, list_transform(w, lambda x: CASE WHEN starts_with(x, '#') THEN chr(2) WHEN regexp_matches(x, '^\p{{N}}') THEN chr(3) ELSE x END) AS w FROM w),
+w AS (SELECT h, regexp_extract_all(regexp_replace(lower(regexp_replace(text, '<[^>\n]*>', ' ', 'g')), '{_LINK.replace("++", "+")}', ' ' || chr(1) || ' ', 'g'), '\x01|#[\\p{{L}}\\p{{N}}_]+|[\\p{{L}}\\p{{N}}_]+') AS w FROM t),
+m AS (SELECT h, list_transform(w, lambda x: CASE WHEN starts_with(x, '#') THEN chr(2) WHEN regexp_matches(x, '^\\p{{N}}') THEN chr(3) ELSE x END) AS w FROM w),
 p AS (SELECT h, unnest(w[:-2]) AS x, unnest(w[2:]) AS y FROM m WHERE len(w) > 1),
 r AS (SELECT h, x, y, count(*) AS n FROM p GROUP BY ALL), c AS (SELECT x, y, sum(n) AS c FROM r GROUP BY ALL),
 cx AS (SELECT x, sum(c) AS cx FROM c GROUP BY ALL), cy AS (SELECT y, sum(c) AS cy FROM c GROUP BY ALL), tot AS (SELECT sum(c) AS m FROM c),

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from gantry.llm.docs import Scan, code_pairs, documented_functions, is_documented
@@ -188,3 +190,21 @@ def test_copies_in_many_repositories_are_found(spark):
     assert not out[("r9", "src/own.py")]["vendored"] and out[("r9", "vendor/lib/a.py")]["vendored"] and not out[("r9", "src/vendor_x/a.py")]["vendored"]
     assert out[("r9", "p_pb2.py")]["generated"] and not out[("r9", "n.py")]["generated"]
     assert len(fingerprints(["a"] * 5)) == 0
+
+
+def test_winnowing_finds_cut_and_edited_copies(spark):
+    """Recall on planted partial copies without any notice: cut to 50 to 100 %, some lines edited, other comments."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = lambda: f"    {word()} = {word()}({word()}, {rng.randint(1, 99)}) + {word()}.{word()}"
+    base = [line() for _ in range(240)]
+    rows = []
+    for i in range(40):
+        size = rng.randint(120, 240)
+        at = rng.randint(0, 240 - size)
+        part = [line() if rng.random() < 0.02 else x for x in base[at : at + size]]
+        rows.append((f"r{i % 8}", f"src/copy{i}.py", f"# note {word()}\ndef {word()}():\n" + "\n".join(part) + "\n", None))
+        rows.append((f"r{i % 8}", f"src/own{i}.py", f"def {word()}():\n" + "\n".join(line() for _ in range(120)) + "\n", None))
+    marked = mark_files(spark.createDataFrame(rows, FILES), spark.createDataFrame([], "name string")).collect()
+    copies = [r["vendored"] for r in marked if "copy" in r["node_id"]]
+    assert sum(copies) / len(copies) >= 0.9 and not any(r["vendored"] for r in marked if "own" in r["node_id"])

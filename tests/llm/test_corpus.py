@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gantry.llm import queries
-from gantry.llm.conversations import read_messages, rebuild_conversations, reply_links
+from gantry.llm.conversations import read_messages, rebuild_conversations, reply_links, with_parents
 from gantry.llm.mixing import entropy, mix_sources, solve_weights
 from gantry.llm.packing import pack_documents, pack_histogram, packing_report
 from gantry.llm.ranking import INDIFFERENT, STRICT, outranking
@@ -221,7 +221,8 @@ def test_reply_links_in_interleaved_channels(spark):
         # the owner of an id that is mentioned an hour and a half later
         rows.append((f"d{density}late", str(density), "user", f"about d{density}c0t1 again", datetime(2024, 1, 1, 1, 30)))
         parent[f"d{density}late"] = f"d{density}c0t1"
-        links = {r["message_id"]: r["parent_id"] for r in reply_links(read_messages(spark.createDataFrame(rows, MESSAGE)), "conversation_id").collect()}
+        found = reply_links(read_messages(spark.createDataFrame(rows, MESSAGE)), "conversation_id")
+        links = {r["message_id"]: r["parent_id"] for r in with_parents(found, "conversation_id").collect()}
         right = sum(links[k] == v for k, v in parent.items())
         assert right / len(parent) >= 0.9, (density, right / len(parent))
         assert links[f"d{density}late"] == f"d{density}c0t1"
