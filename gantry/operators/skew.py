@@ -10,8 +10,9 @@ from gantry.session import Scratch
 #: Fewer rows of one key than this are left to one task.
 HOT_ROWS = 200_000
 #: A hot key holds at least this share of all rows, so there are at most 1 / HOT_SHARE of them.
-HOT_SHARE = 0.001
-SALTS = 64
+HOT_SHARE = 0.00001
+#: A hot key is spread over one salt for so many of its rows, within these bounds.
+SALT_ROWS, LEAST_SALTS, MOST_SALTS = 500_000, 8, 8192
 
 
 def distributed_rank(df: DataFrame, groups: list[str], orders: list[Column], name: str = "rn", weight: str | None = None, total: str | None = None) -> DataFrame:
@@ -47,30 +48,33 @@ def distributed_rank(df: DataFrame, groups: list[str], orders: list[Column], nam
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame | None:
-    """The keys that hold HOT_SHARE of all rows or more (at most 1 / HOT_SHARE of them); None if no key can be hot."""
+    """keys and _salts of the keys that hold HOT_SHARE of all rows or more (at most 1 / HOT_SHARE of them); None if no key is hot."""
     rows = df.count() if rows is None else rows
     if rows < HOT_ROWS:
         return None
     least = max(HOT_ROWS, int(rows * HOT_SHARE))
-    found = df.groupBy(*keys).count().filter(F.col("count") >= least).select(*keys).collect()
-    if not found:
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= least)
+    salts = F.least(F.greatest(F.ceil(F.col("_rows") / SALT_ROWS), F.lit(LEAST_SALTS)), F.lit(MOST_SALTS)).cast("int").alias("_salts")
+    found = counted.select(*keys, salts)
+    rows = found.collect()
+    if not rows:
         return None
-    return df.sparkSession.createDataFrame(found, df.select(*keys).schema)
+    return df.sparkSession.createDataFrame(rows, found.schema)
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", rows: int | None = None, hot_from: DataFrame | None = None) -> DataFrame:
     """Joins `left` to `right`, which has one row per key; keys that are hot in `left` are salted.
 
-    Only the hot keys (a bounded number) are broadcast; their rows of `right` are repeated SALTS
-    times. `keys` must be non-null to match, as in any equi-join. hot_from: a frame with the keys of
+    Only the hot keys (a bounded number) are broadcast; their rows of `right` are repeated once for
+    each of their salts. `keys` must be non-null to match, as in any equi-join. hot_from: a frame with the keys of
     `left` that costs less to count, if `left` is dear to compute.
     """
     hot = hot_keys(left if hot_from is None else hot_from, keys, rows)
     if hot is None:
         return left.join(right, keys, how)
-    mark = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
-    salted = left.join(mark, keys, "left").withColumn("_salt", salt).drop("_hot")
-    spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(mark, keys, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
+    mark = F.broadcast(hot)
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int")).otherwise(0)
+    salted = left.join(mark, keys, "left").withColumn("_salt", salt).drop("_salts")
+    spread = F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
+    repeated = right.join(mark, keys, "left").withColumn("_salt", F.explode(spread)).drop("_salts")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
