@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gantry.functions.predicates import risk_type, risk_velocity, stem
 from gantry.operators import history as H
 from gantry.operators import summary as S
 from gantry.plans import health as HP
@@ -125,7 +126,24 @@ def symbol_matches(spark, folder):
     return S.symbol_matches(table(spark, folder, "wiki_symbols").filter("name is not null"), ["frozen", "interval"])
 
 
-QUERIES = {q.__name__: q for q in (entropy_percentile, strict_percentile, risk_cuts, order_page, findings_in_rounds, change_sources, retired_pairs, knowledge_map, owner_profiles, module_composite, commit_fix_density, price_estimates, read_amplification, repeated_reads, rationale_comments, reversals, opening_frames, capped_lines, line_classes, vocabulary, symbol_matches)}
+def risk_types(spark, folder):
+    """Paths by the kind of risk they carry; the number of suppliers stands in for dependents."""
+    a = _activity(spark, folder).select("path", "c90", "c30", "commits", "temporal")
+    share = S.rank_share(a, "path", "temporal", "churn_pct").select("path", "churn_pct")
+    fixes = H.fix_history(changes(spark, folder), commits(spark, folder)).select("path", "prior_defects", "bug_magnet")
+    used = table(spark, folder, "lineitem").groupBy(F.col("l_partkey").alias("path")).agg(F.countDistinct("l_suppkey").alias("dependents"))
+    x = _owners(spark, folder).select("path", "bus_factor").join(a, "path").join(share, "path").join(fixes, "path").join(used, "path")
+    kind = risk_type(F.col("bug_magnet"), F.col("prior_defects"), F.col("churn_pct"), F.col("bus_factor"), F.col("commits"), F.col("dependents"), F.lit(False), F.col("c90") >= 8)
+    return x.select("path", kind.alias("risk"), risk_velocity(F.col("c30"), F.col("c90")).alias("velocity"))
+
+
+def word_stems(spark, folder):
+    """The words of stored documentation and their stems."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("docstring"), F.lit("[a-z]+"), F.lit(0)))
+    return table(spark, folder, "wiki_symbols").filter("docstring is not null").select(F.explode(words).alias("word")).distinct().select("word", stem(F.col("word")).alias("stem"))
+
+
+QUERIES = {q.__name__: q for q in (entropy_percentile, strict_percentile, risk_cuts, order_page, findings_in_rounds, change_sources, retired_pairs, knowledge_map, owner_profiles, module_composite, commit_fix_density, price_estimates, read_amplification, repeated_reads, rationale_comments, reversals, opening_frames, capped_lines, line_classes, vocabulary, symbol_matches, risk_types, word_stems)}
 
 _C = f"{FRAMES['commits']}, {FRAMES['changes']}"
 _RE = lambda p: p.replace("(?i)", "")
@@ -151,4 +169,6 @@ SQL = {
     "line_classes": rf"WITH x AS (SELECT unnest(string_split(text, chr(10))) AS x FROM documents WHERE text IS NOT NULL) SELECT CASE WHEN trim(x) = '' THEN 'blank' WHEN regexp_matches(x, '^#{{1,6}} ') THEN 'heading' WHEN regexp_matches(x, '^\s*([-*+]|\d+\.) ') THEN 'bullet' WHEN regexp_matches(x, '^(@@|\+\+\+|---) ') THEN 'diff' WHEN regexp_matches(x, '{_RE(S.ERRORS)}', 'i') THEN 'error' WHEN regexp_matches(x, '^\s*\|.*\|\s*$') THEN 'table' WHEN regexp_matches(x, '^(    |\t|```)') THEN 'code' ELSE 'prose' END AS class, count(*) AS lines FROM x GROUP BY ALL",
     "vocabulary": "WITH w AS (SELECT source, doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS word FROM documents WHERE text IS NOT NULL AND source IS NOT NULL), c AS (SELECT source, word, count(*) AS texts FROM w GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY source ORDER BY texts DESC, word) AS place FROM c QUALIFY place <= 20",
     "symbol_matches": r"WITH h AS (SELECT DISTINCT symbol_id, name, list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda w: w <> '') AS h FROM wiki_symbols WHERE name IS NOT NULL), s AS (SELECT symbol_id, name, round(len(list_intersect(['frozen', 'interval'], h)) / 2 + CASE WHEN h = ['frozen', 'interval'] THEN 1 ELSE 0 END, 6) AS score FROM h) SELECT * FROM s WHERE score > 0",
+    "risk_types": f"WITH a AS ({P.SQL['file_activity']}), s AS (SELECT path, CASE WHEN temporal > 0 THEN round((row_number() OVER (PARTITION BY temporal > 0 ORDER BY temporal, path) - 1) / count(*) OVER (PARTITION BY temporal > 0), 6) ELSE 0 END AS churn_pct FROM a), o AS (SELECT path, bus_factor FROM ({P.SQL['ownership']})), f AS (SELECT path, prior_defects, bug_magnet FROM ({P.SQL['fix_history']})), u AS (SELECT l_partkey AS path, count(DISTINCT l_suppkey) AS dependents FROM lineitem GROUP BY ALL) SELECT path, CASE WHEN bug_magnet OR prior_defects >= 3 THEN 'bug-prone' WHEN churn_pct >= 0.7 THEN 'churn-heavy' WHEN bus_factor = 1 AND commits > 20 THEN 'bus-factor-risk' WHEN dependents >= 5 THEN 'high-coupling' ELSE 'stable' END AS risk, CASE WHEN c90 = 0 THEN 'stable' WHEN c90 = c30 THEN CASE WHEN c30 > 0 THEN 'increasing' ELSE 'stable' END WHEN (c30 / 30.0) / ((c90 - c30) / 60.0) > 1.5 THEN 'increasing' WHEN (c30 / 30.0) / ((c90 - c30) / 60.0) < 0.5 THEN 'decreasing' ELSE 'stable' END AS velocity FROM a JOIN s USING (path) JOIN o USING (path) JOIN f USING (path) JOIN u USING (path)",
+    "word_stems": "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(docstring), '[a-z]+')) AS word FROM wiki_symbols WHERE docstring IS NOT NULL) SELECT word, CASE WHEN regexp_matches(word, '(ies|ss)$') THEN word WHEN len(word) > 4 AND regexp_matches(word, '(ches|shes|sses|xes|zes|ses)$') THEN word[:-3] WHEN len(word) > 3 AND word LIKE '%s' THEN word[:-2] ELSE word END AS stem FROM w",
 }
