@@ -331,3 +331,30 @@ def breaking_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     x = both.join(now, ["contract", "field"], "full_outer")
     change = F.when(F.col("has").isNull(), "removed").when(F.col("had").isNull(), "added").when(F.col("t0") != F.col("t1"), "type_changed").when(~F.col("r0") & F.col("r1"), "newly_required")
     return x.select("contract", "field", change.alias("change")).filter("change is not null").unionByName(gone).withColumn("breaking", F.col("change") != "added")
+
+
+def decision_currency(changes: DataFrame, commits: DataFrame) -> DataFrame:
+    """decision, later_commits: for each decision (a sha of commits(sha, ts, is_fix) with is_fix) the later commits that touch one of its paths in changes(sha, path).
+
+    Per path the later commits are counted in order of time, without listing them. A commit that
+    shares k paths with the decision is counted k times so, and k - 1 are taken off: such commits
+    share k * (k - 1) / 2 pairs of paths with it, so only commits that meet in a pair are listed. A
+    row per path holds the paths after it, so paths and pairs take one exchange.
+    """
+    sha = changes.schema["sha"].dataType
+    span = commits.filter("sha is not null").groupBy("sha").agg(F.min(F.when(F.col("is_fix"), F.col("ts"))).alias("since"), F.max("ts").alias("last")).filter("last is not null")
+    own = changes.filter("path is not null").groupBy("sha").agg(F.sort_array(F.collect_set("path")).alias("paths")).join(span, "sha")
+    by_path = own.select("sha", "since", "last", "paths", F.posexplode("paths").alias("i", "a")).select("sha", "since", "last", "a", F.slice("paths", F.col("i") + 2, F.size("paths")).alias("rest")).repartition("a")
+    alone = F.array(F.lit(None).cast(changes.schema["path"].dataType))
+    met = by_path.select("sha", "since", "last", "a", F.explode(F.concat(alone, F.col("rest"))).alias("b"))
+    # a commit is an event at its time, a decision another one, ahead of the commits of that time
+    event = lambda at, asks: F.struct(F.col(at).alias("at"), F.lit(asks).alias("asks"))
+    events = met.select("sha", "a", "b", F.explode(F.array_compact(F.array(event("last", False), F.when(F.col("since").isNotNull(), event("since", True))))).alias("x")).select("sha", "a", "b", "x.*")
+    newer = Window.partitionBy("a", "b").orderBy(F.col("at").desc(), F.col("asks").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    n = F.sum(F.when(~F.col("asks") & F.col("b").isNull(), 1).otherwise(0)).over(newer)
+    shas = F.collect_list(F.when(~F.col("asks") & F.col("b").isNotNull(), F.col("sha"))).over(newer)
+    found = events.withColumns({"n": n, "shas": shas}).filter("asks")
+    single = F.when(F.col("b").isNull(), F.array(F.lit(None).cast(sha))).otherwise(F.col("shas"))
+    listed = found.select(F.col("sha").alias("decision"), "n", F.explode(single).alias("sha")).repartition("decision").groupBy("decision", "sha").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs"))
+    shared = ((F.sqrt(1 + 8 * F.col("pairs")) - 1) / 2).cast("bigint")  # k - 1 of k * (k - 1) / 2
+    return listed.groupBy("decision").agg(F.sum(F.when(F.col("sha").isNull(), F.col("n")).otherwise(-shared)).alias("later_commits")).filter("later_commits > 0")

@@ -150,13 +150,7 @@ def breaking_changes(spark, folder):
 
 def decision_currency(spark, folder):
     """For each urgent order as a decision: later orders that touch one of its suppliers."""
-    own = changes(spark, folder, "l_suppkey").select("sha", "path").distinct()
-    c = commits(spark, folder).select("sha", "ts")
-    made = c.join(commits(spark, folder).filter("is_fix").select("sha"), "sha", "left_semi").withColumnRenamed("ts", "since")
-    governed = own.join(made, "sha").select(F.col("sha").alias("decision"), "path", "since")
-    later = own.join(c, "sha")
-    met = governed.join(later, "path").filter(F.col("ts") > F.col("since"))
-    return met.groupBy("decision").agg(F.countDistinct("sha").alias("later_commits"))
+    return G.decision_currency(changes(spark, folder, "l_suppkey"), commits(spark, folder))
 
 
 QUERIES = {f.__name__: f for f in (betweenness, system_graph, breaking_changes, decision_currency, degrees, pagerank, label_communities, folder_cohesion, super_graph, short_cycles, scc, blast_radius, tests_reaching, path_lengths, execution_flows, entry_scores, unreferenced_files, conformance, propagation_cost, propagation_closure, shortest_paths, shortest_cycles, pagerank_20, settled_communities, execution_flows_8)}

@@ -153,6 +153,26 @@ def test_betweenness_equals_brute_force(spark):
     assert got == pytest.approx(out, abs=1e-8)
 
 
+def test_decision_currency_counts_without_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    commits = [(i, datetime(2024, 1, 1 + rng.randrange(20)), rng.random() < 0.3) for i in range(60)] + [(3, datetime(2024, 2, 1), True), (4, None, True), (90, None, False), (None, datetime(2024, 3, 1), True), (91, datetime(2024, 3, 1), None)]
+    changes = [(rng.randrange(95), rng.randrange(9)) for _ in range(300)] + [(3, None), (None, 2), (91, 1)]
+    want = {}
+    for d, since, fix in commits:
+        for sha, ts, _ in commits:
+            paths = {p for s, p in changes if s == d and p is not None} & {p for s, p in changes if s == sha}
+            if fix and None not in (d, sha, since, ts) and ts > since and paths:
+                want.setdefault(d, set()).add(sha)
+    frames = lambda x, y: (spark.createDataFrame(x, "sha bigint, path bigint"), spark.createDataFrame(y, "sha bigint, ts timestamp, is_fix boolean"))
+    assert {r["decision"]: r["later_commits"] for r in G.decision_currency(*frames(changes, commits)).collect()} == {d: len(x) for d, x in want.items()}
+    # every commit touches one path and is a decision: two hundred million pairs if they were listed
+    n = 20_000
+    many = G.decision_currency(*frames([(i, 1) for i in range(n)], [(i, datetime.fromtimestamp(1_700_000_000 + i), True) for i in range(n)]))
+    assert many.selectExpr("count(*)", "sum(later_commits)").first()[:] == (n - 1, n * (n - 1) // 2)
+
+
 def test_intervals(spark):
     spans = spark.createDataFrame([("f", "outer", 1, 500), ("f", "inner", 60, 70), ("f", "twin", 60, 70), ("f", "bad", 9, 3)], "file string, span_id string, lo int, hi int")
     ranges = spark.createDataFrame([("f", "r1", 62, 66), ("f", "r2", 63, 140), ("g", "r3", 1, 2), ("f", "r4", None, 2)], "file string, range_id string, rlo int, rhi int")
