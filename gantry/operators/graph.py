@@ -6,13 +6,14 @@ cost one round. Hubs are joined through salted lookups or pre-aggregated, never
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gantry.operators.skew import distributed_rank, lookup
+from gantry.operators import packed
+from gantry.operators.skew import lookup
 from gantry.session import Scratch
 
 #: Damping of PageRank, edge origins that executions don't follow, least confidence they do.
@@ -274,41 +275,17 @@ def override_dispatch(methods: DataFrame, ancestors: DataFrame) -> DataFrame:
 
 
 def betweenness(edges: DataFrame, sample: int | None = None) -> DataFrame:
-    """scope, node, betweenness: Brandes' sums over shortest paths, for all sources of a scope at once.
+    """scope, node, betweenness: Brandes' sums over shortest paths, scaled by (n - 1)(n - 2).
 
-    Waves of a breadth-first search count the paths forward, the same waves backward give each node
-    its dependency. Scaled by (n - 1)(n - 2). The state has a row per source and reached
-    node. Exact for every scope; with `sample`, scopes of more nodes count from that many hashed
+    Each task searches from a share of a scope's nodes (packed.dependencies); the sums per task and node are
+    added up. Exact for every scope; with `sample`, scopes of more nodes count from that many hashed
     sources, scaled up.
     """
     scratch = Scratch(edges.sparkSession, "betweenness")
-    step = scratch.write(edges.filter("src <> dst").select("scope", "src", "dst").distinct())
     nodes = scratch.write(nodes_of(edges))
     sizes = nodes.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
-    sources = nodes
-    if sample is not None:
-        large = sizes.filter(F.col("n") > sample).select("scope")
-        ranked = distributed_rank(nodes.join(large, "scope"), ["scope"], [F.xxhash64("scope", "node"), F.col("node")], "rn")
-        sources = nodes.join(large, "scope", "left_anti").unionByName(ranked.filter(F.col("rn") <= sample).select("scope", "node"))
-    waves = [scratch.write(sources.select("scope", F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
-    while True:
-        met = waves[-1].join(step.withColumnRenamed("src", "node"), ["scope", "node"]).groupBy("scope", "source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        seen = reduce(DataFrame.unionByName, waves).select("scope", "source", "node")
-        wave = scratch.write(met.join(seen, ["scope", "source", "node"], "left_anti"))
-        if not wave.limit(1).count():
-            break
-        waves.append(wave)
-    below = waves[-1].withColumn("delta", F.lit(0.0))
-    parts = []
-    for upper in reversed(waves[:-1]):
-        after = below.select("scope", "source", F.col("node").alias("dst"), F.col("paths").alias("p2"), "delta")
-        share = upper.join(step.withColumnRenamed("src", "node"), ["scope", "node"]).join(after, ["scope", "source", "dst"])
-        got = share.groupBy("scope", "source", "node").agg(F.sum(F.col("paths") / F.col("p2") * (1 + F.col("delta"))).alias("delta"))
-        below = scratch.write(upper.join(got, ["scope", "source", "node"], "left").fillna(0.0, ["delta"]))
-        parts.append(below.filter("node <> source and delta > 0").select("scope", "node", "delta"))
-    if not parts:
-        return nodes.withColumn("betweenness", F.lit(0.0))
-    total = reduce(DataFrame.unionByName, parts).groupBy("scope", "node").agg(F.sum("delta").alias("delta"))
+    ranked, parts = packed.search(edges, nodes, partial(packed.dependencies, sources=sample), "at bigint, delta double", scratch)
+    total = parts.groupBy("scope", "at").agg(F.sum("delta").alias("delta")).join(ranked, ["scope", "at"]).drop("at")
     n = F.col("n")
     asked = n if sample is None else F.least(n, F.lit(sample))
     scaled = F.when(n > 2, F.coalesce("delta", F.lit(0.0)) * (n / asked) / ((n - 1) * (n - 2))).otherwise(0.0)

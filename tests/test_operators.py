@@ -153,6 +153,55 @@ def test_betweenness_equals_brute_force(spark):
     assert got == pytest.approx(out, abs=1e-8)
 
 
+def _random_graph(n, m, seed):
+    import random
+
+    rng = random.Random(seed)
+    edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)} | {(i, i + 1) for i in range(n, n + 30)}
+    return sorted(edges | {(7, 7), (n, 0)})
+
+
+def test_searches_by_parts_equal_plain_ones():
+    import numpy as np
+
+    from gantry.operators import packed
+
+    for n, m, seed in ((40, 60, 1), (90, 100, 2), (150, 700, 3)):
+        edges = [(a, b) for a, b in _random_graph(n, m, seed) if a != b]
+        size = n + 31
+        src, dst = (np.array(x, np.int32) for x in zip(*edges))
+        out = {v: [b for a, b in edges if a == v] for v in range(size)}
+        pairs, total = 0, [0.0] * size
+        for s in range(size):
+            far, paths, order = {s: 0}, {s: 1}, [s]
+            for v in order:
+                for w in out[v]:
+                    if w not in far:
+                        far[w], paths[w] = far[v] + 1, 0
+                        order.append(w)
+                    if far[w] == far[v] + 1:
+                        paths[w] += paths[v]
+            pairs += len(order)
+            delta = dict.fromkeys(order, 0.0)
+            for v in reversed(order):
+                delta[v] = sum(paths[v] / paths[w] * (1 + delta[w]) for w in out[v] if far[w] == far[v] + 1)
+                total[v] += delta[v] if v != s else 0
+        for parts in (1, 3):
+            assert sum(int(packed.reached(src, dst, size, p, parts)["pairs"][0]) for p in range(parts)) == pairs
+            got = np.zeros(size)
+            for p in range(parts):
+                x = packed.dependencies(src, dst, size, p, parts)
+                got[x["at"]] += x["delta"]
+            assert got.tolist() == pytest.approx(total)
+
+
+def test_long_chains_need_no_round_a_hop(spark):
+    e = spark.createDataFrame([("s", f"n{i:04}", f"n{i + 1:04}") for i in range(2000)] + [("t", "a", "b"), ("t", "b", "a"), ("u", "x", "x")], "scope string, src string, dst string")
+    assert {r["scope"]: (r["n"], r["cost"]) for r in G.propagation_cost(e, None).collect()} == {"s": (2001, 0.5), "t": (2, 1.0), "u": (1, 0.0)}
+    got = {r["node"]: r["betweenness"] for r in G.betweenness(e).filter("scope = 's'").collect()}
+    assert got["n0000"] == 0 and got["n1000"] == pytest.approx(1000 * 1000 / (2000 * 1999), abs=1e-8)
+
+
 def test_decision_currency_counts_without_pairs(spark):
     import random
 
