@@ -262,7 +262,14 @@ def conformance(edges: DataFrame, rules: list[tuple[str, str, str]]) -> DataFram
 def propagation_cost(edges: DataFrame, depth: int | None) -> DataFrame:
     """Per scope: nodes and the share of ordered pairs that are linked by a walk of at most `depth` hops (None: any)."""
     nodes = nodes_of(edges)
-    pairs = reach(nodes.select("scope", F.col("node").alias("seed"), "node"), edges, depth).filter("hops > 0").groupBy("scope").agg(F.count(F.lit(1)).alias("pairs"))
+    if depth is None:  # counted in bits, without a row per pair
+        scratch = Scratch(edges.sparkSession, "closure")
+        nodes = scratch.write(nodes)
+        ranked, parts = packed.search(edges, nodes, packed.reached, "pairs bigint", scratch, share=256)
+        own = ranked.groupBy("scope").agg(F.count(F.lit(1)).alias("own"))  # every node reaches itself
+        pairs = parts.groupBy("scope").agg(F.sum("pairs").alias("pairs")).join(own, "scope").select("scope", (F.col("pairs") - F.col("own")).alias("pairs"))
+    else:
+        pairs = reach(nodes.select("scope", F.col("node").alias("seed"), "node"), edges, depth).filter("hops > 0").groupBy("scope").agg(F.count(F.lit(1)).alias("pairs"))
     sizes = nodes.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
     return sizes.join(pairs, "scope", "left").select("scope", "n", F.round(F.when(F.col("n") > 1, F.coalesce("pairs", F.lit(0)) / (F.col("n") * (F.col("n") - 1))).otherwise(0.0), 6).alias("cost"))
 
