@@ -105,27 +105,32 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5) -
     """doc_id, class_id, links: classes of documents whose word-shingle sets have a Jaccard similarity of the threshold or more.
 
     Equal texts are folded into one representative first. Candidates share a shingle in their
-    prefixes (prefix filter over shingles in order of rarity), which loses no pair; each candidate is
+    prefixes (prefix and position filter over shingles in order of rarity), which loses no pair; each candidate is
     then compared in full. links counts the similar representatives and the exact copies; class_id
     is the least doc_id that is linked, directly or through others. Texts of fewer words than a
     shingle compare as a whole. Null and empty texts have no class.
     """
     scratch = Scratch(docs.sparkSession, "classes")
     words = F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"[^\W_]+"), 0)
-    grams = F.when(F.size(words) < shingle, F.array(F.xxhash64(words))).otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - shingle + 1), lambda i: F.xxhash64(F.slice(words, i, shingle))))
-    sets = docs.filter(F.length(F.trim("text")) > 0).select("doc_id", F.array_sort(F.array_distinct(grams)).alias("set")).filter(F.size("set") > 0)
-    sets = scratch.write(sets.withColumn("same", F.xxhash64("set")))
-    copies = sets.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = sets.join(copies, (sets["doc_id"] == copies["rep"]) & (sets["same"] == copies["same"])).select("rep", "set", "copies")
+    # a column of its own, read word by word: a lambda would split the text, and slice would copy all words, once for each shingle
+    split = docs.filter(F.length(F.trim("text")) > 0).select("doc_id", words.alias("words"))
+    grams = F.when(F.size("words") < shingle, F.array(F.xxhash64("words"))).otherwise(F.transform(F.sequence(F.lit(0), F.size("words") - shingle), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(shingle)])))
+    whole, held = scratch.keep(split.select("doc_id", F.array_sort(F.array_distinct(grams)).alias("set")).withColumn("same", F.xxhash64("set")))
+    sets = scratch.write(whole.select("doc_id", "same"))
+    copies = scratch.write(sets.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    reps = scratch.write(whole.select(F.col("doc_id").alias("rep"), "set", "same").join(copies, ["rep", "same"]).select("rep", "set", "copies"))
+    scratch.drop(held)
     rare = reps.select(F.explode("set").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     ordered = reps.select("rep", F.size("set").alias("size"), F.explode("set").alias("gram")).join(rare, "gram")
     rank = Window.partitionBy("rep").orderBy("df", "gram")
     # a similar pair shares at least `threshold` of the larger set, so one of the first size - ceil(t * size) + 1 shingles of each
-    lone = F.col("size") - F.ceil(threshold * F.col("size")) + 1
-    prefix = ordered.withColumn("rn", F.row_number().over(rank)).filter((F.col("rn") <= lone) & (F.col("df") > 1)).select("gram", "rep", "size")
+    lone = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1
+    prefix = ordered.withColumn("rn", F.row_number().over(rank)).filter((F.col("rn") <= lone) & (F.col("df") > 1)).select("gram", "rep", "size", (F.col("size") - F.col("rn")).alias("rest"))
     prefix = scratch.write(prefix)
-    other = prefix.select("gram", F.col("rep").alias("mate"), F.col("size").alias("mate_size"))
-    pairs = prefix.join(other, "gram").filter((F.col("rep") < F.col("mate")) & (F.col("mate_size") >= threshold * F.col("size")) & (F.col("size") >= threshold * F.col("mate_size"))).select("rep", "mate").distinct()
+    other = prefix.select("gram", F.col("rep").alias("mate"), F.col("size").alias("mate_size"), F.col("rest").alias("mate_rest"))
+    # from their first common shingle on, a similar pair has enough shingles left to share
+    enough = 1 + F.least("rest", "mate_rest") >= threshold / (1 + threshold) * (F.col("size") + F.col("mate_size")) - 1e-9
+    pairs = prefix.join(other, "gram").filter(enough & (F.col("rep") < F.col("mate")) & (F.col("mate_size") >= threshold * F.col("size")) & (F.col("size") >= threshold * F.col("mate_size"))).select("rep", "mate").distinct()
     a, b = reps.select("rep", F.col("set").alias("sa")), reps.select(F.col("rep").alias("mate"), F.col("set").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     links = pairs.join(a, "rep").join(b, "mate").filter(shared / (F.size("sa") + F.size("sb") - shared) >= threshold).select("rep", "mate")

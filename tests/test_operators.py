@@ -253,6 +253,28 @@ def test_jaccard_classes_equal_brute_force(spark):
     assert got[7] == (7, 1) and got[4] == (4, 0)
 
 
+def test_jaccard_classes_of_long_and_edited_texts(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(5, 90))]
+        for edits in range(5):
+            texts.append(" ".join(f"x{rng.randrange(9)}" if k in {rng.randrange(len(base)) for _ in range(edits // 2)} else w for k, w in enumerate(base + base[: edits % 3])))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in map(str.split, texts)]
+    similar = [[j for j, b in enumerate(sets) if a == b or len(a & b) / len(a | b) >= 0.8] for a in sets]
+    label = list(range(len(sets)))
+    for _ in sets:
+        label = [min(label[j] for j in near) for near in similar]
+    # long texts: split once, not once for each shingle
+    long = " ".join(f"n{i}" for i in range(40_000))
+    docs = [*enumerate(texts), (1000, long), (1001, long + " end")]
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in T.jaccard_classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert (got.pop(1000), got.pop(1001)) == ((1000, 1), (1000, 1))
+    assert {i: c for i, (c, _) in got.items()} == dict(enumerate(label))
+
+
 def test_readers(spark, tmp_path):
     text = ["SF:a.py", "DA:1,2", "DA:3,0", "end_of_record", "SF:b.py", "DA:1,1", "junk"]
     lines = spark.createDataFrame([("r", i, v) for i, v in enumerate(text)], "report string, pos int, value string")
